@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op5_exact
+from .op1_quality import op1_quality_classifier
 from .op2_bpe import op2_byte_bpe
 from .op5_exact import op5_exact_dedup
 from .op6_packing import op6_best_fit_packing
 from .op10_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
