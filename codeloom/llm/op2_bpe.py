@@ -26,7 +26,7 @@ from .common import map_batches, read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Chunks of a text that a worker remembers: two generations of so many, the older one dropped when the younger is full.
-REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,11 +40,11 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
-        #: The lengths of tokens that end in a byte pair, longest first: other lengths need no look-up.
+        #: The lengths of tokens of three or more bytes by their last three, longest first: other lengths need no look-up.
         lengths: dict[bytes, set[int]] = {}
         for token in ranks:
-            lengths.setdefault(token[-2:], set()).add(len(token))
+            if len(token) > 2:
+                lengths.setdefault(token[-3:], set()).add(len(token))
         self.lengths = {end: sorted(n, reverse=True) for end, n in lengths.items()}
         self.follows: dict[tuple[int, int], bool] = {}
         self.stands: dict[int, bool] = {}
@@ -93,27 +93,20 @@ class PrefixEncoder:
 
     def _extend(self) -> None:
         v, data, last = self.v, self.data, self.last
-        ranks, lengths, follows = v.ranks, v.lengths, v.follows
+        get, lengths, follows = v.ranks.get, v.lengths.get, v.follows.get
         for end in range(len(last), len(data) + 1):
             found = -1
-            two = data[end - 2 : end] if end > 1 else data[:1]
-            for n in lengths.get(two, ()):
-                if n <= end and (token := ranks.get(data[end - n : end])) is not None:
+            for n in (*lengths(data[end - 3 : end], ()), 2) if end > 2 else (end,):
+                if n <= end and (token := get(data[end - n : end])) is not None:
                     before = last[end - n]
                     if before < 0:
-                        if v.may_stand(token):
-                            found = token
-                            break
-                    else:
-                        ok = follows.get((before, token))
-                        if ok is None:
-                            ok = v.may_follow(before, token)
-                        if ok:
-                            found = token
-                            break
-            if found < 0:  # no longer token: the byte alone
-                found = ranks[data[end - 1 : end]]
-            last.append(found)
+                        ok = v.may_stand(token)
+                    elif (ok := follows((before, token))) is None:
+                        ok = v.may_follow(before, token)
+                    if ok:
+                        found = token
+                        break
+            last.append(get(data[end - 1 : end]) if found < 0 else found)  # no longer token: the byte alone
 
     def ids(self, end: int | None = None) -> list[int]:
         """Ids of the first `end` bytes: walk back from the last token."""
@@ -139,16 +132,22 @@ class Codec:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def piece(self, data: bytes) -> list[int]:
-        whole = self.v.ranks.get(data)
-        return [whole] if whole is not None else PrefixEncoder(self.v, data).ids()
-
-    def chunk(self, chunk: str) -> bytes:
-        """Packed ids of a chunk."""
-        ids: list[int] = []
-        for p in self.pieces.findall(chunk):
-            ids += self.piece(p.encode())
-        return np.array(ids, "<u4").tobytes()
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Packed ids of each piece. Sorted, so that a piece is an edit of the one before and shares its prefixes."""
+        out, known, encoder = {}, self.v.ranks, PrefixEncoder(self.v)
+        pack = lambda ids: np.array(ids, "<u4").tobytes()
+        for data, p in sorted((p.encode(), p) for p in pieces):
+            if (whole := known.get(data)) is not None:
+                out[p] = pack([whole])
+                continue
+            same = 0
+            for a, b in zip(data, encoder.data, strict=False):
+                if a != b:
+                    break
+                same += 1
+            encoder.edit(same, len(encoder.data), data[same:])
+            out[p] = pack(encoder.ids())
+        return out
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -159,22 +158,25 @@ class Codec:
             first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if rest else [first]
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; what no text before had is encoded once for all."""
+        cut = [self.chunks(t) for t in texts]
+        young, old, new = self.young, self.old, {}
+        for chunks in cut:
+            for c in chunks:
+                if c not in young and c not in new:
+                    new[c] = old.get(c)
+        split = {c: self.pieces.findall(c) for c, ids in new.items() if ids is None}
+        ids = self.encode_pieces(list({p for ps in split.values() for p in ps}))
+        new |= {c: b"".join([ids[p] for p in ps]) for c, ps in split.items()}
+        out = [b"".join([young[c] if c in young else new[c] for c in chunks]) for chunks in cut]
+        if len(young) + len(new) > REMEMBERED:
+            self.old, self.young = young, {}
+        self.young |= {c: x for c, x in new.items() if len(c) <= LONGEST_REMEMBERED}
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        young, old, out = self.young, self.old, []
-        for c in self.chunks(text):
-            ids = young.get(c)
-            if ids is None:
-                ids = old.get(c)
-                if ids is None:
-                    ids = self.chunk(c)
-                if len(c) <= LONGEST_REMEMBERED:
-                    if len(young) >= REMEMBERED:
-                        self.old = old = young
-                        self.young = young = {}
-                    young[c] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.v.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -197,8 +199,7 @@ def _mapped(docs: DataFrame, name: str, pattern: str, hashes: bool) -> DataFrame
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, first, second = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = c.encode(text or "")
+            for ids in c.encode_all([text or "" for text in batch.column(1).to_pylist()]):
                 back = c.decode(ids)
                 n.append(len(ids) // 4)
                 first.append(hashlib.sha256(ids).hexdigest() if hashes else ids)
