@@ -11,6 +11,8 @@ from .op1_quality import op1_quality_classifier
 from .op2_bpe import op2_byte_bpe
 from .op5_exact import op5_exact_dedup
 from .op6_packing import op6_best_fit_packing
+from .op8_near import op8_minhash_near_dedup
+from .op9_secrets import op9_secret_scan
 from .op10_rules import op10_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -6,15 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import common, op10_rules
+from codeloom.llm import common, op5_exact, op6_packing, op8_near, op9_secrets, op10_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
     return op10_rules.keep_good(docs)
 
 
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return op5_exact.keep_first(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return op8_near.keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in the text."""
+    return op9_secrets.redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of a document, with its sequence and place there."""
+    return op6_packing.packed(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
+    ("exact dedup", exact),
+    ("near-dedup", near),
+    ("secret scan", secrets),
+    ("packing", packing),
 ]
 
 #: Not expressible: near-duplicate hashing, a network's scores and the packing search; tests/llm holds brute-force versions.
