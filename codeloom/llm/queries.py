@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op5_exact
+from . import op5_exact, op7_sharding
 from .op1_quality import op1_quality_classifier
 from .op2_bpe import op2_byte_bpe
 from .op5_exact import op5_exact_dedup
 from .op6_packing import op6_best_fit_packing
+from .op7_sharding import op7_lookup_sharding
 from .op8_near import op8_minhash_near_dedup
 from .op9_secrets import op9_secret_scan
 from .op10_rules import op10_quality_rules
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_lookup_sharding": op7_lookup_sharding,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
@@ -28,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL by query; the others are tested against brute force, round trips or held-out accuracy in tests/llm.
 SQL: dict[str, str] = {
     "op5_exact_dedup": op5_exact.SQL,
+    "op7_lookup_sharding": op7_sharding.sql(),
 }
