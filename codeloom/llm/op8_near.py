@@ -62,8 +62,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, 32-bit shingle) of every shingle of every text, in order of text."""
+def shingles(texts: list[str], in_order: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, 32-bit shingle) of every shingle of every text, in order of text and shingle; in_order: of place, without texts of fewer words."""
     data = "\n".join(texts).encode() + b"\n"
     buf = np.frombuffer(data, np.uint8)
     ends = np.cumsum([len(t.encode()) + 1 for t in texts])
@@ -86,14 +86,18 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out_doc.append(doc[: n - WORDS + 1][whole])
         out.append(h[whole])
     count = np.bincount(doc, minlength=len(texts))
-    for d in np.flatnonzero((count > 0) & (count < WORDS)):
+    for d in np.flatnonzero((count > 0) & (count < WORDS)) if not in_order else ():
         a = np.searchsorted(doc, d)
         h = word[a : a + 1] + _U(count[d])
         for k in range(1, count[d]):
             h = _mix(h * _ODD + word[a + k : a + k + 1])
         out_doc.append(np.array([d]))
         out.append(h)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     docs, hashes = np.concatenate(out_doc), (np.concatenate(out) >> _U(32)).astype(np.uint32)
+    if in_order:
+        return docs, hashes
     order = np.lexsort((hashes, docs))
     return docs[order], hashes[order]
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import op5_exact, op7_sharding
 from .op1_quality import op1_quality_classifier
 from .op2_bpe import op2_byte_bpe
+from .op3_passages import op3_substring_dedup
 from .op4_pii import op4_pii_surrogates
 from .op5_exact import op5_exact_dedup
 from .op6_packing import op6_best_fit_packing
@@ -20,6 +21,7 @@ from .op10_rules import op10_quality_rules
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_pii_surrogates": op4_pii_surrogates,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
