@@ -14,6 +14,7 @@ sequence numbers but not what a result has to satisfy.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -22,7 +23,6 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ VOCABULARY, SIZE, END = "word_bpe_49k.json", 2048, 0
 #: Pieces of a group: a group is packed in one task's memory.
 GROUP = 16_384
 #: Words that a worker remembers: two generations of so many.
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
 
 
 class Words:
@@ -42,14 +42,15 @@ class Words:
     not remembered are tokenized together, parted by a character that no such word has. All other texts go to the
     tokenizer as they are."""
 
-    PART = ""
+    PART, TOGETHER = "\ue000", 200
+    PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xC6)])
+    ODD = re.compile("[\x80-\xa0\xad]")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.other = regex.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]")
         part = self.direct(self.PART)
         self.part, self.part_length = int(np.frombuffer(part, "<u4")[0]), len(part) // 4
         self.young: dict[str, bytes] = {}
@@ -59,28 +60,51 @@ class Words:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def together(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(self.PART.join(f"{w} " for w in words), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(ids == self.part)
-        if len(at) != len(words) - 1:
-            return [self.direct(w) for w in words]
-        starts, ends = [0, *(at + self.part_length).tolist()], [*at.tolist(), len(ids)]
-        return [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        out = []
+        for k in range(0, len(words), self.TOGETHER):
+            some = words[k : k + self.TOGETHER]
+            joined = self.tokenizer.encode_batch_fast([self.PART.join(f"{w} " for w in some)], add_special_tokens=False)[0]
+            ids = np.array(joined.ids, "<u4")
+            at = np.flatnonzero(ids == self.part)
+            if len(at) != len(some) - 1:
+                out += map(self.direct, some)
+                continue
+            data, starts, ends = ids.tobytes(), [0, *(at + self.part_length).tolist()], [*at.tolist(), len(ids)]
+            out += [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+        return out
+
+    def plain(self, text: str) -> bool:
+        """Whether text has only characters of which words can be told apart by splitting: printing ASCII, tab, line
+        ends, and Latin letters and signs from U+00A1 to U+017F without the soft hyphen and the dotted capital I."""
+        data = text.encode()
+        return not (data.translate(None, self.PLAIN) or "<|" in text or b"\xc2" in data and self.ODD.search(text) or "\u0130" in text)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; words that no text before had are tokenized once for all of these."""
+        cut = [t.split() if self.plain(t) else None for t in texts]
+        young, old, new = self.young, self.old, {}
+        found = [None if ws is None else list(map(young.get, ws)) for ws in cut]
+        for ws, ps in zip(cut, found, strict=True):
+            if ps and None in ps:
+                new |= {w: None for w, p in zip(ws, ps, strict=True) if p is None}
+        new = {w: old.get(w) for w in new}
+        if unknown := [w for w, p in new.items() if p is None]:
+            new |= zip(unknown, self.together(unknown), strict=True)
+        out = []
+        for t, ws, ps in zip(texts, cut, found, strict=True):
+            if ws is None:
+                out.append(self.direct(t))
+            elif None in ps:
+                out.append(b"".join([new[w] if p is None else p for w, p in zip(ws, ps, strict=True)]))
+            else:
+                out.append(b"".join(ps))
+        if len(young) + len(new) > REMEMBERED:
+            self.old, self.young = young, {}
+        self.young |= {w: p for w, p in new.items() if len(w) <= LONGEST_REMEMBERED}
+        return out
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text or self.other.search(text):
-            return self.direct(text)
-        words = text.split()
-        parts = list(map(self.young.get, words))
-        if None not in parts:
-            return b"".join(parts)
-        missing = list(dict.fromkeys(w for w, p in zip(words, parts, strict=True) if p is None))
-        found = {w: p for w in missing if (p := self.old.get(w)) is not None}
-        if unknown := [w for w in missing if w not in found]:
-            found |= zip(unknown, self.together(unknown), strict=True)
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young |= {w: p for w, p in found.items() if len(w) <= LONGEST_REMEMBERED}
-        return b"".join([found[w] if p is None else p for w, p in zip(words, parts, strict=True)])
+        return self.encode_all([text])[0]
 
 
 @cache
@@ -97,8 +121,8 @@ def pieces(docs: DataFrame, name: str = VOCABULARY, size: int = SIZE) -> DataFra
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = w.encode(text or "") + end
+            for i, ids in enumerate(w.encode_all([text or "" for text in batch.column(1).to_pylist()])):
+                ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[a : a + 4 * size]
                     row.append(i)
