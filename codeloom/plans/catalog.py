@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.plans import catalog_text
+from codeloom.plans import catalog_symbols, catalog_text
 
-QUERIES: dict = dict(catalog_text.Q)
-SQL: dict[str, str] = dict(catalog_text.S)
+QUERIES: dict = catalog_text.Q | catalog_symbols.Q
+SQL: dict[str, str] = catalog_text.S | catalog_symbols.S
