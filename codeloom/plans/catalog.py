@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.plans import catalog_symbols, catalog_text
+from codeloom.plans import catalog_state, catalog_symbols, catalog_text
 
-QUERIES: dict = catalog_text.Q | catalog_symbols.Q
-SQL: dict[str, str] = catalog_text.S | catalog_symbols.S
+QUERIES: dict = catalog_text.Q | catalog_symbols.Q | catalog_state.Q
+SQL: dict[str, str] = catalog_text.S | catalog_symbols.S | catalog_state.S
