@@ -8,7 +8,7 @@ matter; no more than RARE times the mean length of a text can have them, which b
 A text is a node; equal texts are one. Nodes that share a band meet in a bucket and are compared to its hub, the member
 whose buckets are fullest, so a bucket gives one candidate a member. Buckets whose members then still lie in different
 classes go to an exact join by prefix filter: two texts of similarity t share one of the rarest shingles that carry the
-share 1 - t of either's weight, so pairs meet at those shingles only. Classes are the components of the verified links.
+share 1 - t of either's weight, so pairs meet at those shingles only, and only while enough weight lies ahead. Classes are the components of the verified links.
 
 Results: one row a document. Null and empty texts have no shingles and are a class of their own; repeated rows fall into
 the class of their text; an empty table gives no rows; ties go to the smaller id; other columns are not read by `classes`.
@@ -339,27 +339,30 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame, frequent:
 
     def prefix():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            tag, label, total, key = [], [], [], []
+            tag, label, total, key, rest = [], [], [], [], []
             for t, g, whole, items in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 left = whole
                 for it in items:
                     if left < SIMILAR * whole - 1e-9:
                         break
-                    left -= it["w"]
                     if it["df"] > 1:
                         tag.append(t)
                         label.append(g)
                         total.append(whole)
                         key.append(it["shingle"])
-            return pa.RecordBatch.from_arrays([pa.array(tag, pa.int64()), pa.array(label, pa.int64()), pa.array(total, pa.float64()), pa.array(key, pa.int64())], ["tag", "label", "total", "shingle"])
+                        rest.append(left)
+                    left -= it["w"]
+            return pa.RecordBatch.from_arrays([pa.array(tag, pa.int64()), pa.array(label, pa.int64()), pa.array(total, pa.float64()), pa.array(key, pa.int64()), pa.array(rest, pa.float64())], ["tag", "label", "total", "shingle", "rest"])
 
         return f
 
-    short = written(map_batches(gathered, prefix, "tag bigint, label bigint, total double, shingle bigint"), "prefixes")
+    short = written(map_batches(gathered, prefix, "tag bigint, label bigint, total double, shingle bigint, rest double"), "prefixes")
     shared = written(short.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"), "shared")
     met = written(short.join(shared, "shingle", "left_semi"), "met")
-    a, b = (met.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("tag", "label", "total"))) for s in "ab")
-    pairs = a.join(b, (a.shingle == b.shingle) & (F.col("label_a") < F.col("label_b")) & (F.col("total_a") >= SIMILAR * F.col("total_b")) & (F.col("total_b") >= SIMILAR * F.col("total_a")))
+    a, b = (met.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("tag", "label", "total", "rest"))) for s in "ab")
+    # at the first shingle that two texts share, all they share is still ahead in both, and must be t / (1 + t) of their sum
+    enough = F.least("rest_a", "rest_b") >= SIMILAR / (1 + SIMILAR) * (F.col("total_a") + F.col("total_b")) - 1e-6
+    pairs = a.join(b, (a.shingle == b.shingle) & (F.col("label_a") < F.col("label_b")) & (F.col("total_a") >= SIMILAR * F.col("total_b")) & (F.col("total_b") >= SIMILAR * F.col("total_a")) & enough)
     return pairs.select(F.col("tag_a").alias("a"), F.col("tag_b").alias("b")).distinct()
 
 
