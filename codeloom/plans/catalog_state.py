@@ -46,8 +46,8 @@ Q["bd16"] = lambda s, d: B.bind(*_tables(s, d), ["print"])
 S["bd16"] = "WITH RECURSIVE " + BIND.replace("{where}", "")
 Q["bd17"] = lambda s, d: B.bind(*_tables(s, d), ["print"], class_scopes_hide=True)
 S["bd17"] = "WITH RECURSIVE " + BIND.replace("{where}", "JOIN scopes z ON z.path = u.path AND z.scope_id = u.ancestor AND (u.depth = 0 OR z.kind <> 'class')")
-Q["bd19"] = lambda s, d: B.refs_to(B.bind(*_tables(s, d)).withColumn("candidates", F.array(F.concat("path", F.lit(":8")))), "FRANCE:8").select("path", "ord")
-S["bd19"] = "WITH RECURSIVE " + BIND.replace("{where}", "").replace("'print'", "'-'") + " WHERE r.path = 'FRANCE'"
+Q["bd19"] = lambda s, d: B.refs_to(B.bind(*_tables(s, d)).withColumn("candidates", F.array(F.concat("path", F.lit(":8")))), "NATION_7:8").select("path", "ord")
+S["bd19"] = "WITH RECURSIVE " + BIND.replace("{where}", "").replace("'print'", "'-'") + " WHERE r.path = 'NATION_7'"
 S["bd19"] = f"SELECT path, ord FROM ({S['bd19']})"
 Q["bd20"] = lambda s, d: B.file_scope_decl(_tables(s, d)[1])
 S["bd20"] = f"WITH RECURSIVE {TREE} SELECT path, name, arg_min(decl_id, ord) AS decl_id FROM decls WHERE scope_id = 1 GROUP BY 1, 2"
@@ -139,8 +139,8 @@ S["rn1_gate"] = f"WITH {SPANS} SELECT count(DISTINCT path) AS n_files, count(*)
 Q["rn19"] = lambda s, d: B.tiers(B.bind(*_tables(s, d), ["print"]))
 S["rn19"] = "WITH RECURSIVE " + BIND.replace("{where}", "")
 S["rn19"] = f"SELECT bind_kind, count(*) AS n FROM ({S['rn19']}) GROUP BY 1"
-Q["rn21"] = lambda s, d: B.collisions(*_tables(s, d)[:2], 3, "FRANCE", "item")
-S["rn21"] = f"WITH RECURSIVE {TREE} SELECT decl_id FROM decls WHERE path = 'FRANCE' AND name = 'item' AND scope_id IN (SELECT ancestor FROM up WHERE path = 'FRANCE' AND scope_id = 3 UNION SELECT scope_id FROM up WHERE path = 'FRANCE' AND ancestor = 3)"
+Q["rn21"] = lambda s, d: B.collisions(*_tables(s, d)[:2], 3, "NATION_7", "item")
+S["rn21"] = f"WITH RECURSIVE {TREE} SELECT decl_id FROM decls WHERE path = 'NATION_7' AND name = 'item' AND scope_id IN (SELECT ancestor FROM up WHERE path = 'NATION_7' AND scope_id = 3 UNION SELECT scope_id FROM up WHERE path = 'NATION_7' AND ancestor = 3)"
 Q["rn22"] = lambda s, d: _renames(s, d).union(_renames(s, d)).distinct().select("path", "start_byte")
 S["rn22"] = f"WITH {SPANS} SELECT path, start::BIGINT AS start_byte FROM spans"
 Q["ed2"] = lambda s, d: E.replace_once(files(s, d), "thing in", "X").select("path", "n", F.length("content").cast("long").alias("size"))
