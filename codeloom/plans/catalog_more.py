@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
-from codeloom.functions import parsers
+from codeloom.functions import parsers, scopes
 from codeloom.operators import binding as B
 from codeloom.operators import edits as E
 from codeloom.operators import overview as O
@@ -138,3 +138,24 @@ Q["ed14"] = lambda s, d: E.unified_diff(_rows(s, [("a", "x\ny\n", "x\nz\n")], "p
 S["ed14"] = "SELECT 'a' AS path, '--- a/a' || chr(10) || '+++ b/a' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || ' x' || chr(10) || '-y' || chr(10) || '+z' || chr(10) AS diff"
 Q["gr31_parts"] = lambda s, d: _rows(s, [("a/b/c", "a/b/d"), ("a/b/c", "x"), ("a", "a")], "x string, y string").select("x", "y", C.path_distance("x", "y").alias("distance"))
 S["gr31_parts"] = "SELECT * FROM (VALUES ('a/b/c', 'a/b/d', 2::BIGINT), ('a/b/c', 'x', 4::BIGINT), ('a', 'a', 0::BIGINT)) t(x, y, distance)"
+
+#: One small source a language; its declarations are known.
+_SCOPED = [
+    ("bd2", "a.go", "package a\nfunc Top(n int) int {\n  v := n\n  return v\n}\n", [("Top", "function"), ("n", "parameter"), ("v", "variable")]),
+    ("bd3", "a.py", "def f(x):\n    y = x\n    return y\n", [("f", "function"), ("x", "parameter"), ("y", "variable")]),
+    ("bd4", "a.ts", "import { go } from './x';\nfunction run(a: number) {\n  const v = a;\n}\n", [("go", "import"), ("run", "function"), ("a", "parameter"), ("v", "variable")]),
+    ("bd5", "a.java", "class A {\n  int f(int item) {\n    int r = item;\n    return r;\n  }\n}\n", [("A", "class"), ("f", "method"), ("item", "parameter"), ("r", "variable")]),
+    ("bd6", "a.kt", "fun f(a: Int) {\n  val b = a\n}\n", [("f", "function"), ("a", "parameter"), ("b", "variable")]),
+    ("bd7", "a.rs", "fn f(a: u8) {\n    let b = a;\n}\n", [("f", "function"), ("a", "parameter"), ("b", "variable")]),
+    ("bd8", "a.c", "int f(int a) {\n  int r = a;\n  return r;\n}\n", [("f", "function"), ("a", "parameter"), ("r", "variable")]),
+    ("bd9", "a.cpp", "int f(int a) {\n  int r = a;\n  return r;\n}\n", [("f", "function"), ("a", "parameter"), ("r", "variable")]),
+    ("bd10", "a.cs", "class A {\n  int F(int a) {\n    int r = a;\n    return r;\n  }\n}\n", [("A", "class"), ("F", "method"), ("a", "parameter"), ("r", "variable")]),
+    ("bd11", "a.swift", "func f(a: Int) {\n  let b = a\n}\n", [("f", "function"), ("a", "parameter"), ("b", "variable")]),
+    ("bd12", "a.rb", "def f(a)\n  b = a\nend\n", [("f", "function"), ("a", "parameter"), ("b", "variable")]),
+    ("bd13", "a.php", "<?php\nfunction f($a) {\n  $b = $a;\n}\n", [("f", "function"), ("$a", "parameter"), ("$b", "variable")]),
+    ("bd14", "a.lua", "local function f(a)\n  local b = a\nend\n", [("f", "function"), ("a", "parameter"), ("b", "variable")]),
+    ("bd15", "a.zig", "fn f(a: u8) void {\n    const b = a;\n}\n", [("f", "function"), ("a", "parameter"), ("b", "variable")]),
+]
+for _name, _path, _code, _want in _SCOPED:
+    _values(_name, "name, kind", _want, lambda s, d, p=_path, c=_code: scopes.parse_scopes(_rows(s, [(p, bytearray(c.encode()))], "path string, content binary"))[1].select("name", "kind"))
+_values("bd1", "path, n", [(p, len(w)) for _, p, _, w in _SCOPED], lambda s, d: scopes.parse_scopes(_rows(s, [(p, bytearray(c.encode())) for _, p, c, _ in _SCOPED], "path string, content binary"))[1].groupBy("path").agg(F.count("*").cast("int").alias("n")))
