@@ -31,8 +31,8 @@ def _values(name, columns, rows, query):
 
 
 _rows = lambda s, xs, schema: s.createDataFrame(xs, schema)
-_PATHS = ["a/.git/config", "src/.edr/x", "src/main.go", ".claude/y", "git/z.py"]
-_values("sc3", "path, ignored", [("a/.git/config", True), ("src/.edr/x", True), ("src/main.go", False), (".claude/y", True), ("git/z.py", False)], lambda s, d: _rows(s, [(p,) for p in _PATHS], "path string").select("path", F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, sorted(repo.ALWAYS)))).alias("ignored")))
+_PATHS = ["a/.git/config", "src/.codeloom/x", "src/main.go", ".claude/y", "git/z.py"]
+_values("sc3", "path, ignored", [("a/.git/config", True), ("src/.codeloom/x", True), ("src/main.go", False), (".claude/y", True), ("git/z.py", False)], lambda s, d: _rows(s, [(p,) for p in _PATHS], "path string").select("path", F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, sorted(repo.ALWAYS)))).alias("ignored")))
 _IGNORE = ["*.log", "!keep.log", "out/", "/top.txt", "docs/**/a.md"]
 _CASES = [("x/a.log", True), ("x/keep.log", False), ("top.txt", True), ("d/top.txt", False), ("docs/a.md", True), ("docs/x/y/a.md", True), ("a.md", False)]
 _values("sc6", "path, ignored", _CASES, lambda s, d: _rows(s, [(p, repo.ignored([repo.Rule(x) for x in _IGNORE], p, False)) for p, _ in _CASES], "path string, ignored boolean"))

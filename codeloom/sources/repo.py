@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from codeloom.schema import FILES, LANGUAGE_OF
 
 #: Folders that are never entered; folders that are not entered where there are no ignore rules.
-ALWAYS = {".git", ".edr", ".claude"}
+ALWAYS = {".git", ".codeloom", ".claude"}
 DEFAULT_IGNORED = {"node_modules", "vendor", "target", "build", "dist", "__pycache__", ".venv", "venv", ".tox", ".idea", ".vscode", ".gradle", "bin", "obj", "out"}
 LARGEST, SNIFFED = 1 << 20, 512
 
