@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
+from codeloom.scratch import scratch, written
 
 #: Names with more definitions than this are skipped when callees and dependencies are looked up.
 MOST_DEFINITIONS = 5
@@ -94,29 +93,19 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node): everything that an undirected chain of edges(a, b) reaches from seeds(seed). Rounds of joins, each
     written to the session's checkpoint folder, until a round finds nothing new."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    found = _written(seeds.select("seed", F.col("seed").alias("node")).distinct())
-    frontier = found
-    while True:
-        step = frontier.join(both, frontier.node == both.a).select("seed", F.col("b").alias("node")).distinct()
-        frontier = _written(step.join(found, ["seed", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return found
-        found = _written(found.union(frontier))
-
-
-def _written(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = []  # each node once, in the round that meets it
+    with scratch(edges.sparkSession):
+        links = written(both, "links")
+        found.append(written(seeds.select("seed", F.col("seed").alias("node")).distinct(), "found", keep=True))
+        while not found[-1].isEmpty():
+            step = found[-1].join(links, F.col("node") == links.a).select("seed", F.col("b").alias("node")).distinct()
+            for old in found[-2:]:  # a neighbour of the last round's nodes was met then, just before, or never
+                step = step.join(old, ["seed", "node"], "left_anti")
+            found.append(written(step, "found", keep=True))
+    out = found[0]
+    for more in found[1:-1]:
+        out = out.union(more)
+    return out
 
 
 def export_chain(edges: DataFrame, depth: int = 8) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from codeloom.operators import text as T
 from codeloom.plans.adapters import FILES, LINES, files
 from codeloom.plans.catalog_state import CHANGES, TREE, _snapshots, _sql, _tables
 from codeloom.plans.catalog_text import TRI
+from codeloom.scratch import shared_folder
 from codeloom.sources import repo
 from codeloom.sources.store import IndexStore
 from codeloom.streaming import incremental as I
@@ -41,8 +41,7 @@ S["sc8"] = f"WITH {FILES} SELECT path, contains(substr(content, 1, 512), chr(0))
 
 
 def _store(s, d, patch=False):
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    store = IndexStore(s, f"{base.rstrip('/')}/index-{uuid.uuid4().hex}")
+    store = IndexStore(s, f"{shared_folder(s)}/index-{uuid.uuid4().hex}")
     rows = files(s, d).select("path", "content", F.octet_length("content").cast("long").alias("size"))
     if not patch:
         store.build(rows)
