@@ -1,55 +1,34 @@
-"""What the operators of this subpackage share: the shared folder, written tables, typed batches."""
+"""What the operators of this subpackage share: written tables, batches of bounded size, the rows that stay of groups of copies."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.columns import let
+from codeloom.scratch import delete, scratch, shared_folder, written
+
+__all__ = ["WHITE", "batches_of", "delete", "let", "map_batches", "read", "scratch", "shared_folder", "survivors", "written"]
+
 #: The white space of the contracts, `[\x20\x09-\x0D]`, one character each.
 WHITE = " \t\n\x0b\x0c\r"
-#: Rows of an Arrow batch; with it a batch of the longest texts stays within some hundred MB.
-BATCH_ROWS = 512
+#: Rows and bytes that an operator works on at once; one row is never split.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-"))
-        folder = jsc.getCheckpointDir().get()
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once a row, also when body uses it in lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the rows of Arrow batches unless the session bounds them already."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spark's batches (bounded by its own settings) in slices of BATCH_ROWS rows and about BATCH_BYTES at most."""
+    for batch in batches:
+        rows = max(1, min(BATCH_ROWS, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes))))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
@@ -57,8 +36,21 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield f(batch)
-
-    return small_batches(df).mapInArrow(run, schema)
+        for batch in batches_of(batches):
+            yield f(batch)
+
+    return df.mapInArrow(run, schema)
+
+
+def survivors(docs: DataFrame, key: Column, me: Column, groups: DataFrame) -> DataFrame:
+    """docs, all columns as they were, without the copies that groups (key, best, ties) name. A row whose key is in no group stays;
+    others stay if `me` equals the group's best, and where `ties` rows do, one of them. Only groups of two rows or more need be
+    given: their number decides whether Spark broadcasts them or splits a hot key, and no text is written."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), me.alias("me"))
+    one = groups.where("ties < 2 OR ties IS NULL").select("key", "best", F.lit(True).alias("met")).union(groups.where("ties > 1").select("key", F.lit(None).cast(groups.schema["best"].dataType), F.lit(True)))
+    same = F.coalesce(F.col("best").isNotNull() & F.col("me").eqNullSafe(F.col("best")), F.lit(False))
+    out = rows.join(one, "key", "left").where(F.col("met").isNull() | same).select("row.*")
+    tied = groups.where("ties > 1").select("key", "best")
+    if tied.isEmpty():
+        return out
+    return out.union(rows.join(tied, "key").where(F.col("me").eqNullSafe(F.col("best"))).groupBy("key").agg(F.first("row").alias("row")).select("row.*"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, read, small_batches, written
+from .common import map_batches, read, written
 
 VOCABULARY, SIZE, END = "word_bpe_49k.json", 2048, 0
 #: Pieces of a group: a group is packed in one task's memory.
@@ -269,12 +269,12 @@ def pack(rows: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
         yield from pa.Table.from_arrays([*(table.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"]).combine_chunks().to_batches()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", sequence_id bigint, offset bigint"
-    return small_batches(tagged).repartition(n, F.xxhash64("tag")).mapInArrow(run, schema)
+    return tagged.repartition(n, F.xxhash64("tag")).mapInArrow(run, schema)
 
 
 def packed(docs: DataFrame, name: str = VOCABULARY, size: int = SIZE) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(written(pieces(docs, name, size), "pieces"), size)
+    return pack(written(pieces(docs, name, size), "pieces", keep=True), size)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, read, small_batches, written
+from .common import batches_of, map_batches, read, scratch, survivors, written
 
 WORDS, SIMILAR, BANDS, ROWS, RARE = 5, 0.8, 12, 3, 100
 #: Documents of a chunk whose frequent shingles become candidates, and the share of a chunk that makes a shingle one.
@@ -193,18 +193,17 @@ def _candidates(docs: DataFrame) -> DataFrame:
             keys = keys[counts > CANDIDATE * n]
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts[counts > CANDIDATE * n])], ["shingle", "n"])
 
-        for batch in batches:
-            if batch.num_rows:
-                d, h, _ = counted(*shingles([t or "" for t in batch.column(0).to_pylist()]))
-                parts.append(h)
-                n, size = n + batch.num_rows, size + len(h)
-                if n >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
-                    yield flush()
-                    parts, n, size = [], 0, 0
+        for batch in batches_of(batches):
+            d, h, _ = counted(*shingles([t or "" for t in batch.column(0).to_pylist()]))
+            parts.append(h)
+            n, size = n + batch.num_rows, size + len(h)
+            if n >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
+                yield flush()
+                parts, n, size = [], 0, 0
         if parts:
             yield flush()
 
-    return small_batches(docs.select("text")).mapInArrow(run, "shingle bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "shingle bigint, n bigint")
 
 
 def frequencies(docs: DataFrame) -> tuple[Frequent, int]:
@@ -233,8 +232,13 @@ def frequencies(docs: DataFrame) -> tuple[Frequent, int]:
     return Frequent({r[0]: r[1] for r in exact.collect()}, n), n
 
 
-def sketches(docs: DataFrame, frequent: Frequent, tag: Column | None = None) -> DataFrame:
-    """tag (a number of the row; a column of docs, or made here), doc_id, digest of the text, total weight, band keys, shingles (packed, counts as repeats), written once."""
+def digest(text: Column) -> Column:
+    """128 bits of the text's SHA-256, in hexadecimal digits; null counts as empty."""
+    return F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32)
+
+
+def sketches(docs: DataFrame, frequent: Frequent) -> DataFrame:
+    """tag (a number of the row, made here), doc_id, digest of the text, total weight, band keys, shingles (packed, counts as repeats), written once."""
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -254,7 +258,7 @@ def sketches(docs: DataFrame, frequent: Frequent, tag: Column | None = None) ->
 
         return f
 
-    rows = docs.select((F.monotonically_increasing_id() if tag is None else tag).alias("tag"), "doc_id", "text", F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32).alias("digest"))
+    rows = docs.select(F.monotonically_increasing_id().alias("tag"), "doc_id", "text", digest(F.col("text")).alias("digest"))
     return written(map_batches(rows, make, f"tag bigint, doc_id {dict(docs.dtypes)['doc_id']}, digest string, total double, bands array<bigint>, shingles binary"), "sketches")
 
 
@@ -288,16 +292,17 @@ def components(links: DataFrame) -> DataFrame:
     """(tag, label) of every node that has a link: label is the least tag of its component.
 
     Each round takes the least label among neighbours and then the label of the label; rounds end when nothing changes."""
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("tag")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("tag", "b"), "b").groupBy(F.col("a").alias("tag")).agg(F.min("label").alias("near"))
-        step = written(labels.join(near, "tag").select("tag", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
-        jump = step.select(F.col("tag").alias("label"), F.col("label").alias("top"))
-        now = written(step.join(jump, "label", "left").select("tag", "old", F.least("label", F.coalesce("top", "label")).alias("label")), "labels")
-        if now.where("old <> label").isEmpty():
-            return now.select("tag", "label")
-        labels = now.select("tag", "label")
+    with scratch(links.sparkSession):
+        both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+        labels = written(both.groupBy(F.col("a").alias("tag")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+        while True:
+            near = both.join(labels.withColumnRenamed("tag", "b"), "b").groupBy(F.col("a").alias("tag")).agg(F.min("label").alias("near"))
+            step = written(labels.join(near, "tag").select("tag", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+            jump = step.select(F.col("tag").alias("label"), F.col("label").alias("top"))
+            now = written(step.join(jump, "label", "left").select("tag", "old", F.least("label", F.coalesce("top", "label")).alias("label")), "labels", keep=True)
+            if now.where("old <> label").isEmpty():
+                return now.select("tag", "label")
+            labels = now.select("tag", "label")
 
 
 def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame, frequent: Frequent) -> DataFrame:
@@ -385,14 +390,15 @@ def links(sketch: DataFrame, frequent: Frequent) -> DataFrame:
     return first.union(verified(rest, texts, frequent).where(F.col("similarity") >= SIMILAR))
 
 
-def tagged_classes(docs: DataFrame, tag: Column | None = None) -> DataFrame:
-    """tag, doc_id, label of every row: rows of one class have one label."""
-    frequent, _ = frequencies(docs)
-    sketch = sketches(docs, frequent, tag)
-    labels = components(links(sketch, frequent))
-    nodes = written(sketch.groupBy("digest").agg(F.min("tag").alias("node")), "nodes")
-    named = written(nodes.join(labels.withColumnRenamed("tag", "node"), "node", "left").select("digest", F.coalesce("label", "node").alias("label")), "named")
-    return written(sketch.select("tag", "doc_id", "digest").join(named, "digest").select("tag", "doc_id", "label"), "classes")
+def tagged_classes(docs: DataFrame) -> DataFrame:
+    """tag (a number of the row), doc_id, digest, label of every row: rows of one class have one label."""
+    with scratch(docs.sparkSession):
+        frequent, _ = frequencies(docs)
+        sketch = sketches(docs, frequent)
+        labels = components(links(sketch, frequent))
+        nodes = written(sketch.groupBy("digest").agg(F.min("tag").alias("node")), "nodes")
+        named = written(nodes.join(labels.withColumnRenamed("tag", "node"), "node", "left").select("digest", F.coalesce("label", "node").alias("label")), "named")
+        return written(sketch.select("tag", "doc_id", "digest").join(named, "digest").select("tag", "doc_id", "digest", "label"), "classes", keep=True)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -403,12 +409,18 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class, that of the least doc_id (null last), all columns as they were."""
-    inner = written(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("number")), "inner")
-    rows = tagged_classes(inner, F.col("number"))
-    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("tag"))
-    tags = written(rows.groupBy("label").agg(F.min(order).alias("best")).select(F.col("best.tag").alias("tag")), "tags")
-    return inner.select("row", F.col("number").alias("tag")).join(tags, "tag", "left_semi").select("row.*")
+    """docs with one row of each class, that of the least doc_id (null last), all columns as they were. Sketches are gone
+    when it returns; rows are read again for the result and joined with the texts of classes of two rows or more."""
+    with scratch(docs.sparkSession):
+        rows = tagged_classes(docs)
+        counted = written(rows.groupBy("label", "digest", "doc_id").agg(F.count("*").alias("n")), "counted")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", F.col("n").alias("ties"))).alias("best")
+        heads = written(counted.groupBy("label").agg(best, F.sum("n").alias("size")).where("size > 1"), "heads")
+        met = counted.select("label", F.col("digest").alias("key")).distinct().join(heads, "label")
+        mine = F.col("key") == F.col("best.digest")
+        decided = met.select("key", F.when(mine, F.struct(F.col("best.doc_id").alias("doc_id"))).alias("best"), F.when(mine, F.col("best.ties")).otherwise(F.lit(1)).alias("ties"))
+        decided = written(decided, "decided", keep=True)
+    return survivors(docs, digest(F.col("text")), F.struct("doc_id"), decided)
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op5_exact, op7_sharding
+from . import op5_exact, op7_sharding, op10_rules
 from .op1_quality import op1_quality_classifier
 from .op2_bpe import op2_byte_bpe
 from .op3_passages import op3_substring_dedup
@@ -35,4 +35,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op5_exact_dedup": op5_exact.SQL,
     "op7_lookup_sharding": op7_sharding.sql(),
+    "op10_quality_rules": op10_rules.sql(),
 }

@@ -45,10 +45,31 @@ def test_index_grows_by_batches(spark, tmp_path):
     again = op.DigestIndex(spark, name, buckets=4)
     assert [(r.doc_id, r.keep_id, r.kept) for r in op.exact_dedup(b, again).orderBy("doc_id").collect()] == [(1, 5, False), (2, 3, False), (3, 3, True)]
     assert {r.keep_id for r in again.table().collect()} == {3, 5, 6}
-    plan = again.new(again.groups(b.select("doc_id", op.points(), op.digest(b.text).alias("digest"))))._jdf.queryExecution().toString()
+    plan = again.new(again.groups(b.select("doc_id", op.points(), op.digest(b.text).alias("digest"))), "batch")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_a_batch_that_runs_again_loses_nothing(spark, tmp_path):
+    index = op.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=4, path=str(tmp_path / "index"), id_type="string")
+    a = spark.createDataFrame([("x", "a b"), ("y", "c"), ("z", "ab"), ("z", "ab")], "doc_id string, text string")
+    b = spark.createDataFrame([("u", "c"), ("v", "d")], "doc_id string, text string")
+    first = sorted(map(tuple, op.keep_first(a, index, "one").collect()))
+    assert first == [("x", "a b"), ("y", "c")]
+    assert sorted(map(tuple, op.keep_first(a, index, "one").collect())) == first and index.table().count() == 2
+    assert [r.doc_id for r in op.keep_first(b, index, "two").collect()] == ["v"]
+    assert op.keep_first(a, index, "three").count() == 0
+
+
+def test_only_ids_stay_behind(spark, tmp_path, monkeypatch):
+    rows = [(i, "some words that are here " + str(i % 7)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr("codeloom.scratch.shared_folder", lambda s: str(tmp_path))
+    assert op.keep_first(docs).count() == 7
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["decided"]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_sql_gives_the_same(spark):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -38,14 +38,13 @@ def brute_kept(rows):
         best = max(score.values())
         hist.append((len(words), c, w, next(g for g, s in score.items() if s == best) if best else "none"))
     share = lambda x: [v / max(1, sum(x)) for v in x]
-
-    def reference(k, group):
-        use = [share(h[k]) for h in hist if h[0] >= op.MIN_WORDS_CLASSES and (group == "all" or h[3] == group)]
-        if group != "all" and len(use) < op.MIN_REFERENCE_DOCS:
-            return reference(k, "all")
-        s = [sum(col) for col in zip(*use, strict=True)]
-        p = [x / (sum(s) or 1) + op.SMOOTH for x in s]
-        return [x / sum(p) for x in p]
+    smooth = lambda x: [(v / sum(x) + op.SMOOTH) / sum(u / sum(x) + op.SMOOTH for u in x) for v in x]
+    refs = {}
+    for g, ws in op.FUNCTION_WORDS.items():
+        total = sum(1 / k for k in range(1, len(ws) + 1))
+        common = [0.3 / (ws.index(w) + 1) / total if w in ws else 0.0 for w in op.COMMON] + [0.7]
+        refs[g] = smooth(op.PROSE[g]), smooth(common)
+    refs["all"] = tuple(smooth([sum(r[k][i] for r in refs.values()) for i in range(len(refs["en"][k]))]) for k in (0, 1))
 
     def distance(x, q):
         p, js = share(x), 0.0
@@ -58,7 +57,7 @@ def brute_kept(rows):
     for t, (n, c, w, g) in zip(rows, hist, strict=True):
         group = g if g in op.FUNCTION_WORDS else "all"
         failed = n < 50 or 100 * brute_counts(t)[4] > 50 * n
-        a, b = distance(c, reference(1, group)), distance(w, reference(2, group))
+        a, b = distance(c, refs[group][0]), distance(w, refs[group][1])
         out.append((failed, a, b, not failed and (n < op.MIN_WORDS_CLASSES or a <= op.MAX_CLASSES) and (n < op.MIN_WORDS_COMMON or b <= op.MAX_COMMON)))
     return out
 
@@ -68,7 +67,7 @@ def _texts():
     en, fr = op.FUNCTION_WORDS["en"], op.FUNCTION_WORDS["fr"]
     made = lambda pool, n, sep=" ": sep.join(rng.choice(pool) if rng.random() < 0.5 else "".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 8))) for _ in range(n))
     out = [made(rng.choice([en, fr]), rng.randint(1, 250)) for _ in range(70)]
-    out += [made(en, 120, " | "), made(en, 90).upper(), made(fr, 80, "*** "), "same words here " * 60, "line one\nline two\nline one\n \n\n line one", "  lead\ttabs\x0b\x0cand\r\nends  ", "a b a b a b a", "x y", "", None, "é " * 30_000, "12 34 56, 78! " * 9]
+    out += [made(en, 120, " | "), made(en, 90).upper(), made(fr, 80, "*** "), "same words here " * 60, "line one\nline two\nline one\n \n\n line one", "  lead\ttabs\x0b\x0cand\r\nends  ", "a b a b a b a", "x y", "", None, "é " * 30_000, "abc \x85", "abc \u2028", "abc \u2029", "\u2028 abc", "a " * 60 + "\u2028", "a b c d " * 12 + "x \x85", "12 34 56, 78! " * 9]
     return [*out, out[0], out[0]]
 
 
@@ -99,6 +98,37 @@ def test_wide_form_equals_packed_form(spark):
         op.POSITION_BITS = saved
 
 
+def test_colliding_windows_take_the_wider_form(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op.F, "xxhash64", lambda *c: F.length(c[0].cast("string")).cast("long") * 0)  # one hash for all windows
+    texts = ["a b c x a b d y a b c", "p q r s t u v", "a b c a b c a b c", "m n o k m n o l m n"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", op._repeated(op._words(F.col("text"))).alias("n")).collect():
+        assert r.n == brute_counts(r.text)[4]
+
+
+def test_learned_references_move_little_and_do_not_depend_on_junk(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a = op.references(df)
+    b = op.references(df.union(df.limit(1).selectExpr("doc_id", "repeat('JUNK ', 9999) AS text", "lang", "source", "n_chars")))
+    assert a == b and set(a) == {*op.FUNCTION_WORDS, "all"}
+    assert op.references(df.where("false")).keys() == a.keys()
+
+
+def test_verdict_does_not_depend_on_other_rows(spark):
+    d = "/root/testdata/sf0.001"
+    df = spark.read.parquet(d + "/documents.parquet")
+    whole = {tuple(r) for r in op.quality_rules(df).collect()}
+    assert {tuple(r) for r in op.quality_rules(df.where("doc_id < 20")).collect()} <= whole
+
+
+def test_sql_gives_the_same(spark):
+    from tests.oracle import differences
+
+    assert differences(spark, "/root/testdata/sf0.001", op.op10_quality_rules, op.sql()) == ""
+
+
 def test_real_table_keeps_good_and_drops_bad(spark):
     d = "/root/testdata/sf0.01"
     got = op.op10_quality_rules(spark, d).join(spark.read.parquet(d + "/labels.parquet"), "doc_id").toPandas()
