@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.columns import let
 from codeloom.scratch import delete, scratch, shared_folder, written
 
-__all__ = ["WHITE", "batches_of", "delete", "let", "map_batches", "read", "scratch", "shared_folder", "survivors", "written"]
+__all__ = ["WHITE", "batches_of", "delete", "exists", "let", "map_batches", "read", "scratch", "shared_folder", "survivors", "written"]
 
 #: The white space of the contracts, `[\x20\x09-\x0D]`, one character each.
 WHITE = " \t\n\x0b\x0c\r"
@@ -23,6 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spark's batches (bounded by its own settings) in slices of BATCH_ROWS rows and about BATCH_BYTES at most."""
     for batch in batches:
@@ -45,11 +50,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 def survivors(docs: DataFrame, key: Column, me: Column, groups: DataFrame) -> DataFrame:
     """docs, all columns as they were, without the copies that groups (key, best, ties) name. A row whose key is in no group stays;
     others stay if `me` equals the group's best, and where `ties` rows do, one of them. Only groups of two rows or more need be
-    given: their number decides whether Spark broadcasts them or splits a hot key, and no text is written."""
+    given. Groups grow with the table, so the join is by sorting at any size: rows are shuffled once, Spark splits a hot key, and no text
+    is written."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), me.alias("me"))
     one = groups.where("ties < 2 OR ties IS NULL").select("key", "best", F.lit(True).alias("met")).union(groups.where("ties > 1").select("key", F.lit(None).cast(groups.schema["best"].dataType), F.lit(True)))
     same = F.coalesce(F.col("best").isNotNull() & F.col("me").eqNullSafe(F.col("best")), F.lit(False))
-    out = rows.join(one, "key", "left").where(F.col("met").isNull() | same).select("row.*")
+    out = rows.join(one.hint("merge"), "key", "left").where(F.col("met").isNull() | same).select("row.*")
     tied = groups.where("ties > 1").select("key", "best")
     if tied.isEmpty():
         return out
