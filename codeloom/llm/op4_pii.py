@@ -6,16 +6,22 @@ canonical form decides its surrogate, so mentions that differ in case or in sign
 the table of distinct canonical forms is checked: a surrogate that another has, or that is itself some real entity, is
 drawn again until all are distinct. Texts without entities pass as they are.
 
+Where real entities fill a format (all ten thousand numbers of a kind occur), none is left that is not real: after PLAIN_DRAWS draws
+a form takes the form that keyed steps through the alphabet of each place lead to. Different forms then stay different, and draws end.
+Given a folder for the mapping, forms keep the surrogates of earlier batches, and new ones are added to it before texts are replaced.
+
 Texts are taken whole; a null text has no entities and stays null; repeated rows are replaced alike; an empty table gives
-no rows; other columns are not read by `surrogates`. Overlapping mentions: the leftmost, then the pattern listed first.
+no rows; other columns are not read by `surrogates`; of two forms that draw one surrogate the smaller form keeps it. Overlapping mentions: the leftmost, then the pattern listed first.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import exists, read, scratch, written
 
 #: Names by script and gender.
 GIVEN = {
@@ -46,6 +52,10 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 #: At these draws and after, names get one more family name each, so that their number never ends.
 LONGER_NAMES = 3
+#: Draws that must lead to a form that is no real entity; names go on so, other types then take steps.
+PLAIN_DRAWS = 6
+#: The session setting that holds the key of the query; without it each run draws one of its own.
+KEY_SETTING = "spark.codeloom.surrogates.key"
 
 
 def kind(entity: Column) -> Column:
@@ -65,7 +75,7 @@ def _title(e: Column) -> Column:
 
 
 def _bare(e: Column) -> Column:
-    return F.substring(e, F.length(_title(e)) + 1, F.lit(1 << 20))
+    return F.substring(e, F.length(_title(e)) + 1, F.length(e))
 
 
 def _gender(e: Column) -> Column:
@@ -90,9 +100,11 @@ def _seed(key: str, kind: Column, canon: Column, draw: Column) -> Column:
 
 
 def _number(seed: Column, i: Column | int, below: int) -> Column:
-    """The i-th number under `below` of a seed: from seven hexadecimal digits, starting anew after 120 positions."""
-    at = (F.lit(i) if isinstance(i, int) else i) * 5 % 120 + 1
-    return F.conv(F.substring(seed, at, F.lit(7)), 16, 10).cast("long") % below
+    """The i-th number under `below` of a seed: from seven hexadecimal digits; each 24 numbers have digits of their own."""
+    i = F.lit(i) if isinstance(i, int) else i
+    block = F.floor(i / 24).cast("int")
+    digits = F.when(block == 0, seed).otherwise(F.sha2(F.concat(seed, block.cast("string")).cast("binary"), 512))
+    return F.conv(F.substring(digits, (i % 24) * 5 + 1, F.lit(7)), 16, 10).cast("long") % below
 
 
 def _chars(e: Column, f) -> Column:
@@ -136,6 +148,20 @@ def surrogate(kind: Column, canon: Column, sample: Column, draw: Column, key: st
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "person", person).when(kind == "card", _luhn(numbers)).otherwise(numbers)
 
 
+def stepped(kind: Column, canon: Column, draw: Column, key: str) -> Column:
+    """Another form of the same shape, by steps that the key, the type, the length and the draw decide and the form itself does not: each place of
+    an alphabet moves on by one step or more, so no form stays and two forms never become one (cards: but for their check digit)."""
+    seed = _seed(key, kind, F.length(canon).cast("string"), draw)
+    digit = lambda c, i: ((c.cast("int") + 1 + _number(seed, i, 9)) % 10).cast("string")
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    letter = lambda c, i: F.substring(F.lit(abc), ((F.instr(F.lit(abc), c) + _number(seed, i, 25)) % 26 + 1).cast("int"), F.lit(1))
+    domain = F.length(canon) - F.length(F.substring_index(canon, ".", -1)) - 1
+    email = _chars(canon, lambda c, i: F.when(i >= domain, c).when(F.regexp_like(c, F.lit("[0-9]")), digit(c, i)).when(F.regexp_like(c, F.lit("[a-z]")), letter(c, i)).otherwise(c))
+    numbers = _chars(canon, lambda c, i: F.when((kind == "card") & (i == 0), c).otherwise(digit(c, i)))
+    ip = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: ((o.cast("int") + 1 + _number(seed, i, 255)) % 256).cast("string")), ".")
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _luhn(numbers)).otherwise(numbers)
+
+
 def rendered(kind: Column, entity: Column, chosen: Column) -> Column:
     """The canonical surrogate in the format of a mention: its signs, its case, its title."""
     ordinal = lambda i: F.length(_digits(F.substring(entity, F.lit(1), i + 1)))
@@ -145,46 +171,66 @@ def rendered(kind: Column, entity: Column, chosen: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "ip", chosen).when(kind == "person", F.concat(_title(entity), names)).otherwise(numbers)
 
 
-def distinct_surrogates(forms: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, chosen) for distinct (kind, canon, sample): draws again until each is taken by one and is no real entity."""
-    pending, done = forms, None
+def distinct_surrogates(forms: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """(kind, canon, chosen) for distinct (kind, canon, sample): draws again until each is taken by one and, in PLAIN_DRAWS draws, is
+    no real entity. known: (kind, canon, chosen) of earlier batches, which stand."""
+    spark = forms.sparkSession
+    done = written(known.select("kind", "canon", "chosen"), "known") if known is not None else None
+    pending = forms if done is None else written(forms.join(done.select("kind", "canon"), ["kind", "canon"], "left_anti"), "pending")
     real = forms.select("kind", F.col("canon").alias("chosen"))
     draw = 0
-    while True:
-        drawn = written(pending.withColumn("chosen", surrogate(F.col("kind"), F.col("canon"), F.col("sample"), F.lit(draw), key)), "drawn")
-        free = drawn.join(real, ["kind", "chosen"], "left_anti")
+    while not pending.isEmpty():
+        spread = pending.repartition(spark.sparkContext.defaultParallelism, "kind", "canon")  # few bytes, but much to compute
+        kind, canon, number = F.col("kind"), F.col("canon"), F.lit(draw)
+        chosen = surrogate(kind, canon, F.col("sample"), number, key)
+        if draw >= PLAIN_DRAWS:
+            chosen = F.when(kind == "person", chosen).otherwise(stepped(kind, canon, number, key))
+        drawn = written(spread.withColumn("chosen", chosen), "drawn")
+        free = drawn.where("chosen <> canon")
+        free = free.join(real if draw < PLAIN_DRAWS else real.where("kind = 'person'"), ["kind", "chosen"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "chosen"), ["kind", "chosen"], "left_anti")
         first = free.groupBy("kind", "chosen").agg(F.min(F.struct("canon", "sample")).alias("who"))
         won = written(first.select("kind", "who.canon", "chosen"), "won")
         done = won if done is None else written(done.union(won), "done")
         pending = written(drawn.select("kind", "canon", "sample").join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "pending")
-        if pending.isEmpty():
-            return done
         draw += 1
-
-
-def replaced(docs: DataFrame, key: str) -> DataFrame:
-    """docs (all columns, in the struct row) with n_entities and the new text."""
-    marked = written(docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array()).alias("found"), F.monotonically_increasing_id().alias("tag")), "marked")
-    hits = marked.where(F.size("found") > 0)
-    mentions = hits.select("tag", F.posexplode("found").alias("place", "entity"))
-    entities = written(mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity"))).withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "entities")
-    forms = written(entities.groupBy("kind", "canon").agg(F.min("entity").alias("sample")), "forms")
-    chosen = distinct_surrogates(forms, key)
-    table = written(entities.join(chosen, ["kind", "canon"]).select("entity", rendered(F.col("kind"), F.col("entity"), F.col("chosen")).alias("new")), "table")
-    lists = mentions.join(table, "entity").groupBy("tag").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("news"))
-    changed = hits.select("row", "tag", "found").join(written(lists, "lists"), "tag")
+    return done if done is not None else forms.select("kind", "canon", F.col("canon").alias("chosen"))
+
+
+def replaced(docs: DataFrame, key: str, mapping: str | None = None) -> DataFrame:
+    """docs (all columns, in the struct row) with n_entities and the new text. mapping: a folder that holds (kind, canon, chosen) of all batches;
+    it is as secret as the key. A batch that runs again finds its own forms there and gives the same texts."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        found = F.coalesce(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), F.array())
+        # the one written table that holds texts and outlives the scope: finding entities is most of the work, and the result reads it
+        marked = written(docs.select(F.struct(*docs.columns).alias("row"), found.alias("found"), F.monotonically_increasing_id().alias("tag")), "marked", keep=True)
+        hits = marked.where(F.size("found") > 0)
+        mentions = hits.select("tag", F.posexplode("found").alias("place", "entity"))
+        entities = written(mentions.select("entity").distinct().withColumn("kind", kind(F.col("entity"))).withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "entities")
+        forms = written(entities.groupBy("kind", "canon").agg(F.min("entity").alias("sample")), "forms")
+        known = spark.read.parquet(mapping) if mapping and exists(spark, mapping) else None
+        chosen = distinct_surrogates(forms, key, known)
+        if mapping:
+            new = chosen if known is None else chosen.join(known.select("kind", "canon"), ["kind", "canon"], "left_anti")
+            written(new, "new").write.mode("append").parquet(mapping)
+        table = written(entities.join(chosen, ["kind", "canon"]).select("entity", rendered(F.col("kind"), F.col("entity"), F.col("chosen")).alias("new")), "table")
+        lists = mentions.join(table, "entity").groupBy("tag").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("news"))
+        lists = written(lists, "lists", keep=True)
+    changed = hits.select("row", "tag", "found").join(lists, "tag")
     parts = F.split(F.col("row.text"), ANY, -1)
     text = F.array_join(F.zip_with(parts, F.concat("news", F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
     same = marked.where(F.size("found") == 0).select("row", F.lit(0).cast("long").alias("n_entities"), F.col("row.text").alias("new_text"))
     return changed.select("row", F.size("found").cast("long").alias("n_entities"), text.alias("new_text")).union(same)
 
 
-def surrogates(docs: DataFrame, key: str = "codeloom") -> DataFrame:
-    """One row a document: doc_id, n_entities, text with every entity replaced. key: the secret that decides the surrogates."""
-    return replaced(docs.select("doc_id", "text"), key).select("row.doc_id", "n_entities", F.col("new_text").alias("text"))
+def surrogates(docs: DataFrame, key: str, mapping: str | None = None) -> DataFrame:
+    """One row a document: doc_id, n_entities, text with every entity replaced. key: the secret that decides the surrogates; who has it can test
+    guesses of an entity. mapping: see `replaced`."""
+    return replaced(docs.select("doc_id", "text"), key, mapping).select("row.doc_id", "n_entities", F.col("new_text").alias("text"))
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(read(spark, sf_dir, "documents"))
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+    return surrogates(read(spark, sf_dir, "documents"), key)
