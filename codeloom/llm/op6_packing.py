@@ -3,8 +3,8 @@
 Documents become token ids and then pieces of at most `size` tokens; only longer documents are cut. Pieces go to groups
 of bounded size by a hash of the row's number, so that no document, source or length makes a group large; each group is
 packed best-fit decreasing, and then the emptiest bin gives its pieces to fuller ones, by moves, one-for-one and
-two-for-one exchanges. Each step raises the sum of squared fills; the search goes on until bins empty and stops when
-the emptiest bins no longer change. A group wastes less than two bins beside what no packing could fill.
+two-for-one exchanges. Each step raises the sum of squared fills; the search ends when a round over all bins empties none
+or no packing could have fewer. Groups are packed apart, so each may waste part of a bin beside what no packing could fill.
 
 A null text is empty: its document is the closing id alone. Repeated rows are packed each; an empty table gives no rows;
 texts are taken whole and other columns are not read. Rows with equal lengths are ordered by arrival, which changes
@@ -162,15 +162,20 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int, patience: int = 24, rounds: int = 2) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """Raise the sum of squared fills until bins empty.
 
-    drain: the emptiest bin gives its items to others, by moves, one-for-one and two-for-one exchanges; `patience` bins in
-    a row that don't empty end it. tighten: each bin, fullest first, takes a longer item for a shorter one from an emptier
-    bin, so that free space gathers where drain can use it. Both only take tokens from an emptier into a fuller bin."""
+    drain: each bin in turn, emptiest first, gives its items to others, by moves, one-for-one and two-for-one exchanges.
+    tighten: each bin, fullest first, takes a longer item for a shorter one from an emptier bin, so that free space gathers
+    where drain can use it. Both only take tokens from an emptier into a fuller bin. Rounds of both end when a round empties no bin, or
+    when no packing could have fewer bins.
+
+    Exchanges are found by length: a bin has fewer than 64 lengths that differ, so all of its pairs have few sums, and one look at
+    all items finds for each the largest sum that fits."""
     fill = [sum(lengths[i] for i in b) for b in bins]
+    least, n_bins = -(-sum(fill) // size), sum(map(bool, bins))
     open_bins = [b for b in range(len(bins)) if fill[b] < size]
-    if len(open_bins) < 2:
+    if len(open_bins) < 2 or n_bins <= least:
         return bins
     item = np.array([i for b in open_bins for i in bins[b]])
     at = np.array([b for b in open_bins for _ in bins[b]])
@@ -185,59 +190,72 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int, patience:
         bins[b].append(int(item[k]))
         gap[b] -= long[k]
 
+    def sums_of(mine: list[int]) -> tuple[np.ndarray, dict[int, tuple[int, ...]]]:
+        """Sums of one or two of the items, in order, and items that have each sum: one where one does."""
+        by: dict[int, list[int]] = {}
+        for k in mine:
+            by.setdefault(int(long[k]), []).append(k)
+        groups: dict[int, tuple[int, ...]] = {}
+        for x, ks in by.items():
+            if len(ks) > 1:
+                groups[2 * x] = (ks[0], ks[1])
+        for (x, ks), (y, js) in combinations(by.items(), 2):
+            groups[x + y] = (ks[0], js[0])
+        groups |= {x: (ks[0],) for x, ks in by.items()}
+        return np.array(sorted(groups)), groups
+
     def drain() -> int:
-        emptied = failed = 0
-        fixed = np.zeros(len(bins), bool)
-        while failed < patience:
+        nonlocal n_bins
+        emptied, fixed = 0, np.zeros(len(bins), bool)
+        while n_bins > least:
             rest = [b for b in open_bins if not fixed[b] and bins[b]]
             if len(rest) < 2:
                 break
             victim = max(rest, key=lambda b: gap[b])
             while bins[victim]:
                 mine = [place[i] for i in bins[victim]]
-                spare = np.where((at != victim) & ~fixed[at], gap[at], 0)  # free space beside each item
-                best, what = 0, None
-                for k in mine:
+                spare = np.where((at != victim) & ~fixed[at], gap[at], -1)  # free space beside each item
+                room = int(spare.max())
+                movable = [k for k in mine if long[k] <= room]
+                if movable:
+                    k = max(movable, key=lambda k: long[k])
                     fits = np.flatnonzero(spare >= long[k])
-                    if len(fits):
-                        what = (k,), None, at[fits[np.argmin(spare[fits])]]
-                        break
-                for group in [] if what else [*((k,) for k in mine), *combinations(mine[:64], 2)]:
-                    gain = sum(long[k] for k in group) - long
-                    ok = np.where((gain > 0) & (gain <= spare), gain, 0)
-                    j = int(np.argmax(ok))
-                    if ok[j] > best:
-                        best, what = int(ok[j]), (group, j, at[j])
-                if what is None:
+                    put(k, at[fits[np.argmin(spare[fits])]])
+                    continue
+                sums, groups = sums_of(mine)
+                best = np.searchsorted(sums, long + spare, "right") - 1
+                gain = np.where((spare > 0) & (best >= 0), sums[best] - long, 0)
+                j = int(np.argmax(gain))
+                if gain[j] <= 0:
                     break
-                group, j, b = what
-                if j is not None:
-                    put(j, victim)
+                b = at[j]
+                group = groups[int(sums[best[j]])]
+                put(j, victim)
                 for k in group:
                     put(k, b)
             fixed[victim] = True
-            emptied, failed = (emptied, failed + 1) if bins[victim] else (emptied + 1, 0)
+            if not bins[victim]:
+                emptied, n_bins = emptied + 1, n_bins - 1
         return emptied
 
     def tighten() -> None:
         for b in sorted((b for b in open_bins if bins[b] and gap[b] > 0), key=lambda b: gap[b]):
             if gap[b] == 0:
                 continue
-            best, what = 0, None
+            mine = {int(long[k]): k for k in (place[i] for i in bins[b])}
+            own = np.array(sorted(mine))
             emptier = (at != b) & (gap[at] >= gap[b])
-            for k in (place[i] for i in bins[b]):
-                gain = long - long[k]
-                ok = np.where(emptier & (gain > 0) & (gain <= gap[b]), gain, 0)
-                j = int(np.argmax(ok))
-                if ok[j] > best:
-                    best, what = int(ok[j]), (k, j)
-            if what is not None:
-                (k, j), other = what, at[what[1]]
+            # for each item elsewhere, the shortest item here that leaves room for it
+            short = np.searchsorted(own, long - gap[b], "left")
+            gain = np.where(emptier & (short < len(own)), long - own[np.minimum(short, len(own) - 1)], 0)
+            j = int(np.argmax(gain))
+            if gain[j] > 0:
+                other = at[j]
                 put(j, b)
-                put(k, other)
+                put(mine[int(own[short[j]])], other)
 
     drain()
-    for _ in range(rounds):
+    while n_bins > least:
         tighten()
         if not drain():
             break

@@ -43,6 +43,49 @@ def test_search_empties_bins():
     assert len(bins) == 3
 
 
+def _fewest(lengths, size):
+    """The least number of bins, by trying all."""
+    lengths = sorted(lengths, reverse=True)
+    best = len(lengths)
+
+    def go(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(lengths):
+            best = len(room)
+            return
+        for k in range(len(room)):
+            if room[k] >= lengths[i] and room[k] not in room[:k]:
+                go(i + 1, [*room[:k], room[k] - lengths[i], *room[k + 1 :]])
+        go(i + 1, [*room, size - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def test_search_is_near_the_optimum():
+    rng = random.Random(12)
+    more = 0
+    for _ in range(150):
+        size = rng.choice([10, 20, 50])
+        lengths = [rng.randint(1, size * 2 // 3) for _ in range(rng.randint(1, 11))]
+        bins = op.local_search(op.best_fit(lengths, size), lengths, size)
+        _valid(bins, lengths, size)
+        fewest = _fewest(lengths, size)
+        assert len(bins) <= fewest + 1
+        more += len(bins) - fewest
+    assert more <= 5
+
+
+def test_pairs_of_a_bin_of_many_pieces_count():
+    # 78 pieces of 1 fill 39 bins by moves; 3 and 5 only fit together, in the place of 6
+    lengths = [1] * 78 + [3, 5] + [6, 89] * 60
+    bins = op.local_search([list(range(80)), *([80 + 2 * k, 81 + 2 * k] for k in range(60))], lengths, 97)
+    _valid(bins, lengths, 97)
+    assert sum(sum(lengths[i] for i in b) == 97 for b in bins) == 40
+
+
 def test_packed_documents(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "42", "gamma!"]) for _ in range(rng.randrange(900)))) for i in range(60)]
