@@ -1,14 +1,17 @@
 """Secret scan: a character convolutional network in numpy over every candidate and its surrounding context.
 
-Three base patterns find findings that always stay. Further candidates, long runs of key-like characters, key blocks,
-and assignments too short for the base rule, get a score from the network, which reads the characters before, in and after the
-candidate; those at or above the threshold are added as kind 'model'. The network is trained here on labelled findings
-made by a seeded generator; its scores are calibrated by Platt scaling on findings held out from training, and the
-threshold is the highest that keeps the wanted recall on them.
+Three base patterns find findings that always stay. Further candidates are runs of key-like characters, what base findings leave of
+such runs, values of eight characters or more given to a name that speaks of secrets, assignments too short for the base rule,
+passwords in addresses and private key blocks. Every candidate and every base finding gets a score from the network, which reads
+the characters before, in and after it; longer ones are read through windows that overlap by half, of which the highest counts. Candidates
+at or above the threshold are added as kind 'model'. The network is trained here on labelled findings made by a seeded generator; its
+scores are calibrated by Platt scaling on findings held out from training, and the threshold is the highest that keeps the wanted
+recall on them. That recall holds for the generator's kinds of secrets; it is not a promise for kinds that it does not make.
 
 Texts are scanned whole; null counts as empty and has no findings; repeated rows get equal rows; an empty table gives
 no rows; other columns are not read by `scan` and pass unchanged through `redact`, which replaces spans in the text.
-Spans count code points, end exclusive; overlapping spans of different kinds are all reported.
+Spans count code points, end exclusive; overlapping spans of different kinds are all reported; a score equal to the threshold
+counts; of equal spans of one kind there is one.
 """
 
 from __future__ import annotations
@@ -30,14 +33,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 KINDS = ["assign", "access", "hex", "model"]
-#: Candidates of the network: runs with a letter and a digit, and the heads of key blocks.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-#: Characters that the network reads before, in (head and tail of longer ones) and after a candidate.
-BEFORE, HEAD, TAIL, AFTER = 24, 32, 16, 8
-WIDTH = BEFORE + HEAD + TAIL + AFTER
+#: Candidates of the network: runs with a letter and a digit, values given to names, passwords in addresses, heads and ends of key blocks.
+LEAST_RUN = 16
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+NAMED = re.compile(r"""(?:passw(?:or)?d|pwd|passphrase|secret|token|api_?key|access_?key|private_?key|credentials?|auth(?:orization)?)["']?\x20*(?:=>|[:=])\x20*["']?(?:(?:bearer|basic)\x20+)?([^\s"',;]{8,})""", re.ASCII | re.IGNORECASE)
+NAME_PARTS = ("passw", "pwd", "passphrase", "secret", "token", "key", "credential", "auth")
+ADDRESS = re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{4,128})@")
+BLOCK, BLOCK_END = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+#: Characters that the network reads before, in and after a candidate, and the step of windows over longer ones.
+BEFORE, INSIDE, AFTER, STEP = 24, 48, 8, 24
+WIDTH = BEFORE + INSIDE + AFTER
 WANTED_RECALL, SEED = 0.98, 20240
 MASK = "[SECRET]"
+#: Windows that are scored at once.
+BLOCK_WINDOWS = 4096
 
 
 def base_findings(text: str) -> list[tuple[str, int, int]]:
@@ -50,37 +59,75 @@ def base_findings(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Spans for the network: runs, key blocks and short assignments that lie in no base finding."""
-    spans = [m.span() for m in RUN.finditer(text)]
-    if "PRIVATE KEY" in text:
-        spans += [m.span() for m in BLOCK.finditer(text)]
-    low = text.lower()
-    if "passw" in low or "secret" in low or "token" in low or "api" in low:
-        spans += [m.span() for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) < LEAST_VALUE]
-    if not spans:
-        return []
-    covered = [(a, b) for _, a, b in base]
-    return sorted({(s, e) for s, e in spans if not any(a < e and s < b for a, b in covered)}) if len(covered) < 64 else _uncovered(spans, covered)
-
-
-def _uncovered(spans: list[tuple[int, int]], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The same for many findings, by one merge of both sorted lists."""
-    out, k, reach, covered = [], 0, -1, sorted(covered)
-    for s, e in sorted(set(spans)):
-        while k < len(covered) and covered[k][0] < e:
-            reach = max(reach, covered[k][1])
+def _left(spans: list[tuple[int, int]], covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the covered stretches leave of the spans (both sorted by start; spans do not overlap)."""
+    out, k = [], 0
+    for s, e in spans:
+        while k < len(covered) and covered[k][1] <= s:
             k += 1
-        if reach <= s:
+        j = k
+        while j < len(covered) and covered[j][0] < e:
+            if covered[j][0] > s:
+                out.append((s, covered[j][0]))
+            s = max(s, covered[j][1])
+            j += 1
+        if s < e:
             out.append((s, e))
     return out
 
 
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+def _mixed(x: str) -> bool:
+    """Whether x has a letter and a digit."""
+    return any("0" <= c <= "9" for c in x) and any(c.isalpha() for c in x)
+
+
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Private key blocks, to the end of their END line, or of the BEGIN line where another block begins first or none ends."""
+    starts, ends, out, k = [m.span() for m in BLOCK.finditer(text)], [m.end() for m in BLOCK_END.finditer(text)], [], 0
+    for i, (s, e) in enumerate(starts):
+        while k < len(ends) and ends[k] <= e:
+            k += 1
+        until = starts[i + 1][0] if i + 1 < len(starts) else len(text)
+        out.append((s, ends[k] if k < len(ends) and ends[k] <= until else e))
+    return out
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Spans for the network beside the base findings: those of them that a base finding covers whole are left out."""
+    covered = _union([(a, b) for _, a, b in base])
+    spans = [(s, e) for s, e in _left([m.span() for m in RUN.finditer(text)], covered) if e - s >= LEAST_RUN and _mixed(text[s:e])]
+    if "PRIVATE KEY" in text:
+        spans += _blocks(text)
+    low = text.lower()
+    if any(n in low for n in NAME_PARTS):
+        named = [m.span(1) for m in NAMED.finditer(text)]
+        short = [m.span() for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) < LEAST_VALUE]
+        spans += _left(named, covered) + _left(short, covered)
+    if "://" in text:
+        spans += _left([m.span(1) for m in ADDRESS.finditer(text)], covered)
+    return sorted({(s, e) for s, e in spans if e > s})
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The windows over a candidate: itself, or INSIDE characters at each STEP and at its end."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(s, s + INSIDE) for s in range(start, end - INSIDE, STEP)] + [(end - INSIDE, end)]
+
+
 def window(text: str, start: int, end: int) -> bytes:
-    """WIDTH character codes: 0 none, 1 not ASCII, else the character with its case."""
-    inside = text[start:end]
-    inside = inside if len(inside) <= HEAD + TAIL else inside[:HEAD] + inside[-TAIL:]
-    parts = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0"), inside.ljust(HEAD + TAIL, "\0"), text[end : end + AFTER].ljust(AFTER, "\0")
+    """WIDTH character codes of at most INSIDE characters and those around them: 0 none, 1 not ASCII, else the character with its case."""
+    parts = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0"), text[start:end].ljust(INSIDE, "\0"), text[end : end + AFTER].ljust(AFTER, "\0")
     return "".join(parts).encode("latin-1", "replace").translate(_CODES)
 
 
@@ -91,7 +138,7 @@ class Network:
     """Embedding, one convolution, maximum over the three regions, one dense unit; forward, backward and Adam in numpy."""
 
     EMBED, FILTERS, SPAN = 10, 24, 5
-    REGIONS = ((0, BEFORE), (BEFORE, BEFORE + HEAD + TAIL), (BEFORE + HEAD + TAIL, WIDTH))
+    REGIONS = ((0, BEFORE), (BEFORE, BEFORE + INSIDE), (BEFORE + INSIDE, WIDTH))
 
     def __init__(self, seed: int):
         r = np.random.default_rng(seed)
@@ -175,12 +222,23 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     name = lambda: r.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "client_secret", "auth", "access_key", "credential", "private_key", "pwd", "AUTH_TOKEN", "DB_PASSWORD", "Authorization: Bearer"])
     plain = lambda: r.choice(["commit", "sha256", "checksum", "etag", "version", "file", "image", "id", "uuid", "url", "host", "model", "see", "isbn", "build", "ref", "from", "digest"])
 
+    def chosen() -> str:
+        """A password as people choose them: words and numbers, letters changed for signs."""
+        k = r.randrange(4)
+        if k == 0:
+            return "".join(of(low, r.randint(4, 8)) for _ in range(r.randint(3, 5)))
+        if k == 1:
+            return of(low, r.randint(3, 6)).capitalize() + of(dig + "!@#$%&*", r.randint(2, 4)) + of(low + dig, r.randint(3, 6))
+        if k == 2:
+            return of(low, r.randint(2, 4)) + r.choice("@!$#%&") + of(low, r.randint(2, 4)) + of(dig, r.randint(1, 4)) + r.choice(["", "!", "x", "#"])
+        return of(low, r.randint(4, 7)) + of(dig, r.randint(2, 5)) + r.choice(["", "!", "_", "#"]) + of(low + up, r.randint(1, 4))
+
     def secret() -> tuple[str, str]:
-        k = r.randrange(9)
+        k = r.randrange(13)
         if k == 0:
             return "", r.choice(["ghp_", "gho_", "ghs_"]) + of(mixed, 36)
         if k == 1:
-            return "", r.choice(["sk_live_", "rk_live_", "sk-"]) + of(mixed, r.randint(24, 48))
+            return "", r.choice(["sk_live_", "rk_live_", "sk-"]) + of(mixed, r.randint(24, 40))
         if k == 2:
             return "", r.choice(["xoxb-", "xoxp-"]) + of(dig, 11) + "-" + of(dig, 11) + "-" + of(mixed, 24)
         if k == 3:
@@ -189,32 +247,43 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             return r.choice(["", "Bearer "]), "eyJ" + of(mixed, 30) + ".eyJ" + of(mixed, 40) + "." + of(mixed + "_-", 43)
         if k == 5:
             return "", r.choice(["-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----"])
+        if k == 6:
+            return r.choice(["postgres", "https", "mysql", "amqp"]) + "://" + word() + ":", r.choice([chosen(), of(mixed, r.randint(8, 20))]) + "@"
         sign = r.choice([" = ", "=", ": ", ' = "', '="', "': '", '": "', " => "])
-        return name() + sign, of(r.choice([mixed, b64, hexa, mixed + "_-"]), r.randint(16, 56))
+        if k in (7, 8, 9):
+            return name() + sign, chosen()
+        return name() + sign, of(r.choice([mixed, b64, hexa, mixed + "_-"]), r.randint(12, 56))
 
     def look_alike() -> tuple[str, str]:
-        k = r.randrange(11)
+        k = r.randrange(15)
         sign = r.choice([" ", ": ", "=", " = ", "/"])
         if k == 0:
             return plain() + sign, of(hexa, r.choice([20, 24, 28]))
         if k == 1:
             return plain() + sign, "-".join(of(hexa, i) for i in (8, 4, 4, 4, 12))
         if k == 2:
-            return "", "/".join(word() for _ in range(r.randint(2, 4))) + f"/{word()}{of(dig, 2)}.{r.choice(['py', 'html', 'png', 'txt'])}"
+            return "", "/".join(word() for _ in range(r.randint(2, 9))) + f"/{word()}{of(dig, 2)}.{r.choice(['py', 'html', 'png', 'txt'])}"
         if k == 3:
             return r.choice(["@", "//", "www.", ""]), f"{word()}{of(dig, 1)}.{word()}.{r.choice(['com', 'org', 'net'])}"
         if k == 4:
-            return "", "_".join(word() for _ in range(r.randint(2, 5))) + "_" + of(dig, r.randint(1, 3))
+            return "", "_".join(word() for _ in range(r.randint(2, 9))) + "_" + of(dig, r.randint(1, 3))
         if k == 5:
-            return name() + r.choice(["=", ": "]), r.choice(["your_token_here_123", "xxxxxxxxxxxxxxxx1", "changeme-changeme-1", "example_password_1", "00000000000000000a", "insert-key-here-v2"])
+            return name() + r.choice(["=", ": "]), r.choice(["your_token_here_123", "xxxxxxxxxxxxxxxx1", "changeme-changeme-1", "example_password_1", "00000000000000000a", "insert-key-here-v2", "required", "disabled", "undefined", "(optional)", "<password>", "${PASSWORD}", "os.environ", "getenv(", "********", "self.token", "None)"])
         if k == 6:
-            return "base64,", "iVBORw0KGgo" + of(b64, r.randint(10, 40))
+            return "base64,", "iVBORw0KGgo" + of(b64, r.randint(10, 37))
         if k == 7:
             return plain() + sign, f"20{of(dig, 2)}-0{of('123456789', 1)}-1{of(dig, 1)}T{of(dig, 2)}.{of(dig, 3)}Z"
         if k == 8:
             return "", f"{word()}-{of(dig, 1)}.{of(dig, 1)}.{of(dig, 2)}-{word()}-{word()}"
         if k == 9:
             return "", word().capitalize() + word().capitalize() + word().capitalize() + of(dig, r.randint(1, 4)) + word()
+        if k in (10, 11):  # within a long run of plain data
+            chars = r.choice([b64, hexa, low + dig + "/."])
+            return of(chars, r.randint(BEFORE, 60)), of(chars, INSIDE)
+        if k == 12:  # a name and an ordinary word
+            return name() + r.choice([": ", " = "]), of(low, r.randint(8, 13))
+        if k == 13:
+            return "https://" + word() + ":", of(dig, 4) + "@"
         return name() + r.choice(["=", " = "]), of(low, r.randint(1, 6)) + of(dig, 1)
 
     out = []
@@ -224,13 +293,17 @@ def findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             value += "-" + word() + of(dig, 2) + word()
         left = " ".join(word() for _ in range(r.randint(0, 5)))
         text = left + r.choice([" ", "\n", " | ", "\t"]) + lead
-        start = len(text)
-        out.append((text + value + r.choice(['"', "'", " ", "\n", ",", ";", "!!", "***", ""]) + " " + " ".join(word() for _ in range(3)), start, start + len(value), i % 2))
+        if i % 16 == 1:  # in a run that goes on
+            text += "/".join(word() for _ in range(r.randint(2, 5))) + r.choice(["/", "="])
+        at = value.endswith("@")
+        value = value.rstrip("@") if at else value
+        start, end = len(text), len(text) + min(len(value), INSIDE)
+        out.append((text + value + ("@" + word() if at else r.choice(['"', "'", " ", "\n", ",", ";", "!!", "***", ""])) + " " + " ".join(word() for _ in range(3)), start, end, i % 2))
     return out
 
 
 @cache
-def trained(seed: int = SEED, n: int = 4800, recall: float = WANTED_RECALL) -> Network:
+def trained(seed: int = SEED, n: int = 7200, recall: float = WANTED_RECALL) -> Network:
     """The network, trained on two thirds of n findings and calibrated on the rest; a few seconds, once a driver process."""
     rows = findings(n, seed)
     codes = np.array([np.frombuffer(window(t, a, b), np.uint8) for t, a, b, _ in rows]).astype(np.int64)
@@ -242,21 +315,37 @@ def trained(seed: int = SEED, n: int = 4800, recall: float = WANTED_RECALL) -> N
     return net
 
 
-def find(texts: list[str], net: Network) -> list[list[tuple[str, int, int]]]:
-    """All findings of each text, in order of start, then kind as listed."""
-    out, where, codes = [], [], []
+def scored(texts: list[str], net: Network) -> list[list[tuple[tuple[str, int, int], float]]]:
+    """All findings of each text with their scores, in order of start, then kind as listed. Windows are scored in blocks of bounded size."""
+    out: list[list] = [[] for _ in texts]
+    held: list[tuple[int, str, int, int, int]] = []
+    codes: list[bytes] = []
+
+    def flush() -> None:
+        if held:
+            s = net.scores(np.frombuffer(b"".join(codes), np.uint8).reshape(-1, WIDTH).astype(np.int64))
+            best = np.maximum.reduceat(s, np.cumsum([0, *(h[4] for h in held[:-1])]))
+            for (i, kind, a, b, _), x in zip(held, best.tolist(), strict=True):
+                if kind != "model" or x >= net.threshold:
+                    out[i].append(((kind, a, b), x))
+        held.clear()
+        codes.clear()
+
     for i, text in enumerate(texts):
         base = base_findings(text)
-        out.append(base)
-        for a, b in candidates(text, base):
-            where.append((i, a, b))
-            codes.append(window(text, a, b))
-    if where:
-        s = net.scores(np.frombuffer(b"".join(codes), np.uint8).reshape(-1, WIDTH).astype(np.int64))
-        for (i, a, b), x in zip(where, s, strict=True):
-            if x >= net.threshold:
-                out[i].append(("model", a, b))
-    return [sorted(f, key=lambda x: (x[1], KINDS.index(x[0]), x[2])) for f in out]
+        for kind, a, b in [*base, *(("model", a, b) for a, b in candidates(text, base))]:
+            spans = windows(a, b)
+            held.append((i, kind, a, b, len(spans)))
+            codes += [window(text, s, e) for s, e in spans]
+            if len(codes) >= BLOCK_WINDOWS:
+                flush()
+    flush()
+    return [sorted(f, key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2])) for f in out]
+
+
+def find(texts: list[str], net: Network) -> list[list[tuple[str, int, int]]]:
+    """All findings of each text, in order of start, then kind as listed."""
+    return [[x for x, _ in f] for f in scored(texts, net)]
 
 
 def joined(found: list[tuple[str, int, int]]) -> str:
@@ -264,21 +353,22 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, scores (of the spans, in thousandths) of every document."""
     net = net or trained()
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = find([t or "" for t in batch.column(1).to_pylist()], net)
+            rated = scored([t or "" for t in batch.column(1).to_pylist()], net)
+            found = [[x for x, _ in f] for f in rated]
             base = [[x for x in f if x[0] != "model"] for f in found]
             counts = [pa.array([sum(x[0] == k for x in b) for b in base], pa.int64()) for k in KINDS[:3]]
             hashes = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string())
-            return pa.RecordBatch.from_arrays([batch.column(0), *counts, hashes, pa.array(map(joined, found), pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *counts, hashes, pa.array(map(joined, found), pa.string()), pa.array([",".join(str(round(1000 * p)) for _, p in f) for f in rated], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores"])
 
         return f
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return map_batches(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, scores string")
 
 
 def masked(text: str, found: list[tuple[str, int, int]], mask: str = MASK) -> str:
