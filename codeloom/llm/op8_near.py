@@ -305,9 +305,9 @@ def components(links: DataFrame) -> DataFrame:
             labels = now.select("tag", "label")
 
 
-def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame, frequent: Frequent) -> DataFrame:
-    """Pairs of different classes that share a bucket's doubt: an exact join by prefix filter among the members of buckets
-    that hold more than one class."""
+def _prefixes(members: DataFrame, labels: DataFrame, texts: DataFrame, frequent: Frequent) -> DataFrame:
+    """(tag, label, total, shingle, rest) of the prefixes of texts in doubt, members of buckets that hold more than one class: rest is the weight
+    from the shingle on, in order of rarity."""
     named = members.join(labels.withColumnRenamed("label", "known"), "tag", "left").select("key", "tag", F.coalesce("known", "tag").alias("label"))
     named = written(named, "named")
     mixed = written(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
@@ -362,12 +362,39 @@ def _residual(members: DataFrame, labels: DataFrame, texts: DataFrame, frequent:
         return f
 
     short = written(map_batches(gathered, prefix, "tag bigint, label bigint, total double, shingle bigint, rest double"), "prefixes")
-    shared = written(short.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"), "shared")
-    met = written(short.join(shared, "shingle", "left_semi"), "met")
-    a, b = (met.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("tag", "label", "total", "rest"))) for s in "ab")
-    # at the first shingle that two texts share, all they share is still ahead in both, and must be t / (1 + t) of their sum
-    enough = F.least("rest_a", "rest_b") >= SIMILAR / (1 + SIMILAR) * (F.col("total_a") + F.col("total_b")) - 1e-6
-    pairs = a.join(b, (a.shingle == b.shingle) & (F.col("label_a") < F.col("label_b")) & (F.col("total_a") >= SIMILAR * F.col("total_b")) & (F.col("total_b") >= SIMILAR * F.col("total_a")) & enough)
+    return short
+
+
+def _contested(rows: DataFrame) -> DataFrame:
+    """rows whose shingle more than one class has."""
+    shared = written(rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle"), "shared")
+    return rows.join(shared, "shingle", "left_semi")
+
+
+def _possible(x: str, y: str) -> Column:
+    """Whether two texts that meet at a shingle can be similar: sizes are near, and at the first shingle that they share, all they share is still
+    ahead in both and must be t / (1 + t) of their sum."""
+    totals = F.col(f"total_{x}"), F.col(f"total_{y}")
+    enough = F.least(f"rest_{x}", f"rest_{y}") >= SIMILAR / (1 + SIMILAR) * (totals[0] + totals[1]) - 1e-6
+    return (totals[0] >= SIMILAR * totals[1]) & (totals[1] >= SIMILAR * totals[0]) & enough
+
+
+def _speakers(rows: DataFrame, order: Column) -> DataFrame:
+    """(a, b): at each contested shingle one text of each class, first by order, with that of the class that has most texts there: as many pairs as
+    classes."""
+    best = F.min_by(F.struct("tag", "total", "rest"), order).alias("s")
+    speak = written(_contested(rows).groupBy("shingle", "label").agg(best, F.count("*").alias("n")).select("shingle", "label", "n", "s.*"), "speakers")
+    largest = F.max_by(F.struct("label", "tag", "total", "rest"), F.struct("n", (-F.col("label")).alias("l"))).alias("s")
+    hubs = written(speak.groupBy("shingle").agg(largest).select("shingle", *(F.col(f"s.{c}").alias(f"{c}_b") for c in ("label", "tag", "total", "rest"))), "speaking_hubs")
+    rows = speak.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("label", "tag", "total", "rest"))).join(hubs, "shingle").where("label_a <> label_b")
+    return rows.where(_possible("a", "b")).select(F.least("tag_a", "tag_b").alias("a"), F.greatest("tag_a", "tag_b").alias("b")).distinct()
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): texts of different classes that share a shingle of both prefixes and can be similar: those of similarity SIMILAR are among them."""
+    met = written(_contested(rows), "met")
+    x, y = (met.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("tag", "label", "total", "rest"))) for s in "ab")
+    pairs = x.join(y, (x.shingle == y.shingle) & (F.col("label_a") < F.col("label_b")) & _possible("a", "b"))
     return pairs.select(F.col("tag_a").alias("a"), F.col("tag_b").alias("b")).distinct()
 
 
@@ -385,9 +412,20 @@ def links(sketch: DataFrame, frequent: Frequent) -> DataFrame:
     stars = written(stars, "stars")
     named = written(members.select("tag").distinct(), "involved")
     texts = written(sketch.select("tag", "shingles").join(named, "tag", "left_semi"), "involved")
-    first = written(verified(stars, texts, frequent).where(F.col("similarity") >= SIMILAR), "first")
-    rest = written(_residual(members.select("key", "tag"), components(first), texts, frequent), "rest")
-    return first.union(verified(rest, texts, frequent).where(F.col("similarity") >= SIMILAR))
+    found = written(verified(stars, texts, frequent).where(F.col("similarity") >= SIMILAR), "first")
+    rows = _prefixes(members.select("key", "tag"), components(found), texts, frequent)
+    # the text with the least weight before the shingle differs least from what its class has in common; then any
+    for order in (F.struct((-F.col("rest") / F.col("total")).alias("r"), "tag"), F.struct(F.xxhash64("tag").alias("r"), "tag")):
+        new = written(verified(written(_speakers(rows, order), "spoken"), texts, frequent).where(F.col("similarity") >= SIMILAR), "heard")
+        if new.isEmpty():
+            continue
+        found = found.union(new)
+        classes_of = rows.select("tag", "label").distinct()
+        joined = new.join(classes_of.toDF("a", "x"), "a").join(classes_of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        merged = components(joined.where("a <> b")).toDF("label", "merged")
+        rows = written(rows.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label")).drop("merged"), "prefixes")
+    rest = written(_all_pairs(rows), "rest")
+    return found.union(verified(rest, texts, frequent).where(F.col("similarity") >= SIMILAR))
 
 
 def tagged_classes(docs: DataFrame) -> DataFrame:
