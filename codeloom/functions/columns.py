@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -35,10 +36,20 @@ def trigrams(content: Column | str) -> Column:
 
 
 def smart_contains(content: Column | str, pattern: str) -> Column:
-    """Literal match: as it is if the pattern has an ASCII capital, else without regard to case."""
+    """Literal match: as it is if the pattern has an ASCII capital, else without regard to ASCII case, as the trigram index folds."""
     if any(c in UPPER for c in pattern):
         return F.contains(col(content), F.lit(pattern))
-    return F.contains(F.lower(col(content)), F.lit(pattern.lower()))
+    return F.contains(ascii_fold(content), F.lit(pattern))
+
+
+def whole_word(name: str) -> str:
+    r"""A pattern of the name between characters that are no ASCII word characters; `\b` would see letters of all scripts."""
+    return rf"(?<![A-Za-z0-9_]){re.escape(name)}(?![A-Za-z0-9_])"
+
+
+def name_hash(name: Column | str) -> Column:
+    """64 bits of a name without its case, in hexadecimal digits: the key of name postings."""
+    return F.substring(F.sha2(F.encode(F.lower(col(name)), "UTF-8"), 256), 1, 16)
 
 
 def tokens(n: Column) -> Column:

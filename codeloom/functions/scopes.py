@@ -7,6 +7,7 @@ space, 'value'. References after a dot or its like are property accesses, which
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,7 +66,7 @@ def _parameters(clean: str, a: int, b: int, lang: str) -> Iterator[tuple[str, in
 
 def parse(code: str, lang: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
     """(scopes, decls, refs) in characters of code: scopes (id, parent, kind, a, b), decls (name, kind, scope, a, b),
-    refs (name, scope, a, b, reason)."""
+    refs (name, scope, a, b, reason, qualifier: the name before the dot of a property access)."""
     clean, syms = blanked(code, lang), symbols(code, lang)
     names = {}
     for s in syms:
@@ -113,21 +114,22 @@ def parse(code: str, lang: str) -> tuple[list[tuple], list[tuple], list[tuple]]:
         if m.start() not in decls and m.group() not in KEYWORDS and not (m.start() and clean[m.start() - 1].isdigit()):
             before = clean[: m.start()].rstrip(" \t")[-2:]
             prop = before.endswith(".") and not before.endswith("..") or before in ("->", "::") or lang == "lua" and before.endswith(":")
-            refs.append((m.group(), inside(m.start()), m.start(), m.end(), "property_access" if prop else None))
+            owner = re.search(r"([A-Za-z_$][\w$]*)\s*(?:\.|->|::|:)\s*$", clean[max(0, m.start() - 200) : m.start()]) if prop else None
+            refs.append((m.group(), inside(m.start()), m.start(), m.end(), "property_access" if prop else None, owner[1] if owner else None))
     return scopes, [decls[k] for k in sorted(decls)], refs
 
 
 def parse_scopes(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """scopes, decls and refs of files(path, content binary), in bytes, in the shape that binding takes."""
-    one = files.select("path", "content").mapInPandas(_rows, "what string, path string, ord int, scope_id int, parent_id int, kind string, name string, start_byte int, end_byte int, reason string")
+    one = files.select("path", "content").mapInPandas(_rows, "what string, path string, ord int, scope_id int, parent_id int, kind string, name string, start_byte int, end_byte int, reason string, qualifier string, line int")
     part = lambda what, *cols: one.where(f"what = '{what}'").select("path", *cols)
     scopes = part("scope", "scope_id", "parent_id", "kind", "start_byte", "end_byte")
-    decls = part("decl", "ord", "name", "kind", "scope_id", "start_byte", "end_byte").selectExpr("*", "'value' AS ns", "concat(path, ':', ord) AS decl_id")
-    return scopes, decls, part("ref", "ord", "name", "scope_id", "start_byte", "end_byte", "reason").selectExpr("*", "'value' AS ns")
+    decls = part("decl", "ord", "name", "kind", "scope_id", "start_byte", "end_byte", "line").selectExpr("*", "'value' AS ns", "concat(path, ':', ord) AS decl_id")
+    return scopes, decls, part("ref", "ord", "name", "scope_id", "start_byte", "end_byte", "reason", "qualifier", "line").selectExpr("*", "'value' AS ns")
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["what", "path", "ord", "scope_id", "parent_id", "kind", "name", "start_byte", "end_byte", "reason"]
+    columns = ["what", "path", "ord", "scope_id", "parent_id", "kind", "name", "start_byte", "end_byte", "reason", "qualifier", "line"]
     for b in batches:
         out = []
         for path, data in zip(b.path, b.content, strict=True):
@@ -137,9 +139,11 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             code = bytes(data).decode("utf-8", "replace")
             at = (lambda p: p) if code.isascii() else lambda p, c=code: len(c[:p].encode())
             scopes, decls, refs = parse(code, lang)
-            out += [("scope", path, 0, i, p, k, None, at(s), at(e), None) for i, p, k, s, e in scopes]
-            out += [("decl", path, n, sc, None, k, name, at(s), at(e), None) for n, (name, k, sc, s, e) in enumerate(decls, 1)]
-            out += [("ref", path, n, sc, None, None, name, at(s), at(e), why) for n, (name, sc, s, e, why) in enumerate(refs, 1)]
+            ends = [m.start() for m in re.finditer("\n", code)]
+            line = lambda p, ends=ends: bisect_left(ends, p) + 1
+            out += [("scope", path, 0, i, p, k, None, at(s), at(e), None, None, line(s)) for i, p, k, s, e in scopes]
+            out += [("decl", path, n, sc, None, k, name, at(s), at(e), None, None, line(s)) for n, (name, k, sc, s, e) in enumerate(decls, 1)]
+            out += [("ref", path, n, sc, None, None, name, at(s), at(e), why, owner, line(s)) for n, (name, sc, s, e, why, owner) in enumerate(refs, 1)]
         frame = pd.DataFrame(out, columns=columns)
         frame["parent_id"] = frame["parent_id"].astype("Int32")
         yield frame

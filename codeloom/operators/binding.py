@@ -152,3 +152,8 @@ def collisions(scopes: DataFrame, decls: DataFrame, scope_id: int, path: str, ne
     up = around.where(F.col("scope_id") == scope_id).select(F.col("ancestor").alias("scope_id"))
     down = around.where(F.col("ancestor") == scope_id).select("scope_id")
     return decls.where((F.col("path") == path) & (F.col("name") == new_name)).join(up.union(down).distinct(), "scope_id", "left_semi").select("decl_id")
+
+
+def builtin_refs(refs: DataFrame, builtins: list[str]) -> DataFrame:
+    """refs(.., name) with builtin: whether the name is one that the language brings along."""
+    return refs.withColumn("builtin", F.col("name").isin(builtins))

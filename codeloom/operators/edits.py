@@ -71,9 +71,132 @@ def fuzzy_matches(files: DataFrame, wanted: str) -> DataFrame:
     return files.select("path", F.floor(n).cast("long").alias("n")).where("n > 0")
 
 
-def overlay_bytes(content: Column, start: int, end: int, replacement: str) -> Column:
+def overlay_binary(content: Column, start: int, end: int, replacement: str) -> Column:
+    """The bytes of content with [start, end) replaced, wherever characters begin."""
     data = F.encode(content, "UTF-8")
-    return F.concat(F.decode(F.substring(data, 1, start), "UTF-8"), F.lit(replacement), F.decode(F.substring(data, F.lit(end + 1), F.octet_length(data)), "UTF-8"))
+    return F.concat(F.substring(data, 1, start), F.encode(F.lit(replacement), "UTF-8"), F.substring(data, F.lit(end + 1), F.octet_length(data)))
+
+
+def overlay_bytes(content: Column, start: int, end: int, replacement: str) -> Column:
+    return F.decode(overlay_binary(content, start, end, replacement), "UTF-8")
+
+
+def byte_slice(content: Column, start: Column, end: Column) -> Column:
+    return F.decode(F.substring(F.encode(content, "UTF-8"), (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")
+
+
+def _count(text: Column, part: str) -> Column:
+    return F.floor((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part.encode())).cast("long")
+
+
+def replace_in_symbol(files: DataFrame, symbols: DataFrame, old: str, new: str) -> DataFrame:
+    """(path, n, content) of files of symbols(path, start_byte, end_byte), one a file: the text replaced where the symbol holds it exactly once."""
+    rows = files.select("path", "content").join(symbols.select("path", "start_byte", "end_byte"), "path")
+    size = F.octet_length("content")
+    rows = rows.withColumn("body", byte_slice(F.col("content"), F.col("start_byte"), F.col("end_byte"))).withColumn("n", _count(F.col("body"), old))
+    whole = F.concat(byte_slice(F.col("content"), F.lit(0), F.col("start_byte")), F.replace("body", F.lit(old), F.lit(new)), byte_slice(F.col("content"), F.col("end_byte"), size))
+    return rows.select("path", "n", F.when(F.col("n") == 1, whole).otherwise(F.col("content")).alias("content"))
+
+
+def removals(spans: DataFrame) -> DataFrame:
+    """Edits that take spans(path, start_byte, end_byte) out."""
+    return spans.select("path", "start_byte", "end_byte", F.lit("").alias("replacement"))
+
+
+def insertions(places: DataFrame) -> DataFrame:
+    """Edits that put text at places(path, at, text)."""
+    return places.select("path", F.col("at").alias("start_byte"), F.col("at").alias("end_byte"), F.col("text").alias("replacement"))
+
+
+def moved_after(symbols: DataFrame, moves: DataFrame) -> DataFrame:
+    """Edits of moves(path, name, to_path, after): the first symbol of a name goes behind another, in its file or in a second one. The two edits
+    of a move are rows of one set, so `spliced` and `guarded` see both or none."""
+    first = symbols.groupBy("path", "name").agg(F.min_by(F.struct("start_byte", "end_byte", "body"), "start_byte").alias("s")).select("path", "name", "s.*")
+    source = moves.join(first, ["path", "name"])
+    target = first.select(F.col("path").alias("to_path"), F.col("name").alias("after"), F.col("end_byte").alias("at"))
+    met = source.join(target, ["to_path", "after"])
+    taken = removals(met)
+    put = insertions(met.select(F.col("to_path").alias("path"), "at", F.concat(F.lit("\n"), "body").alias("text")))
+    return taken.union(put)
+
+
+def insert_after_symbol(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Edits that put text behind the first symbol of wanted(path, name, text)."""
+    last = symbols.groupBy("path", "name").agg(F.min_by("end_byte", "start_byte").alias("at"))
+    return insertions(wanted.join(last, ["path", "name"]).select("path", "at", F.concat(F.lit("\n"), "text").alias("text")))
+
+
+def insert_inside(lines: DataFrame, symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, before_line, text) for wanted(path, name, text): the text before the last line of a container, each of its lines indented as the
+    container's first inner line, or one step more than its head where it has none."""
+    first = symbols.groupBy("path", "name").agg(F.min_by(F.struct("start_line", "end_line"), "start_line").alias("s")).select("path", "name", "s.*")
+    rows = wanted.join(first, ["path", "name"])
+    indent = F.regexp_extract("line_text", r"^([ \t]*)", 1)
+    near = rows.join(lines.select("path", F.col("line").alias("at"), F.col("text").alias("line_text")), "path").where("at BETWEEN start_line AND end_line")
+    seen = near.groupBy("path", "name", "text", "end_line").agg(F.min_by(F.when((F.col("at") > F.col("start_line")) & (F.col("at") < F.col("end_line")) & (F.trim("line_text") != ""), indent), F.when((F.col("at") > F.col("start_line")) & (F.col("at") < F.col("end_line")) & (F.trim("line_text") != ""), F.col("at"))).alias("inner"), F.min_by(indent, "at").alias("head"))
+    lead = F.coalesce("inner", F.concat("head", F.lit("    ")))
+    return seen.select("path", F.col("end_line").alias("before_line"), F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(lead, x)), "\n").alias("text"))
+
+
+def near_matches(files: DataFrame, wanted: str, like: float = 0.6) -> DataFrame:
+    """(path, why) for files that lack a text: what in them comes near it, the first that holds of: white space differs, indentation
+    differs, its first line is there, some line is alike by bigrams."""
+    first = wanted.split("\n")[0].strip()
+    squeeze = lambda x: " ".join(x.split())
+    bare = lambda c: F.array_join(F.transform(F.split(c, "\n"), lambda x: F.ltrim(x)), "\n")
+    rows = files.where(~F.contains("content", F.lit(wanted))).select("path", "content")
+    low = F.transform(F.sequence(F.lit(1), F.lit(max(1, len(first) - 1))), lambda i: F.substring(F.lit(first), i, F.lit(2)))
+    # bigrams with their numbers, so that repeated ones count as often as both have them
+    numbered = lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    dice = lambda x: 2 * F.size(F.array_intersect(numbered(bigrams(x)), numbered(low))) / F.greatest(F.length(x) + len(first) - 2, F.lit(1))
+    alike = F.exists(F.split("content", "\n"), lambda x: dice(F.trim(x)) >= like) if len(first) > 1 else F.lit(False)
+    why = F.when(F.contains(squeezed(F.col("content")), F.lit(squeeze(wanted))), "white space").when(F.contains(bare(F.col("content")), F.lit("\n".join(x.lstrip() for x in wanted.split("\n")))), "indentation")
+    return rows.select("path", why.when(F.contains("content", F.lit(first)), "first line").when(alike, "alike").otherwise("nothing").alias("why"))
+
+
+def ambiguous_matches(lines: DataFrame, symbols: DataFrame, wanted: str) -> DataFrame:
+    """(path, line, name): lines that hold a text found more than once in their file, with the smallest symbol around each."""
+    hits = lines.where(F.contains("text", F.lit(wanted))).select("path", "line")
+    many = hits.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+    rows = hits.join(many, "path", "left_semi")
+    around = rows.join(symbols.select("path", "name", "start_line", "end_line"), "path").where("line BETWEEN start_line AND end_line")
+    best = around.groupBy("path", "line").agg(F.min_by("name", F.struct((F.col("end_line") - F.col("start_line")).alias("n"), F.col("start_line"))).alias("name"))
+    return rows.join(best, ["path", "line"], "left")
+
+
+def lcs_lines(pairs: DataFrame) -> DataFrame:
+    """(path, old_line, new_line) of a longest common subsequence of lines of pairs(path, old, new). Alignment has no relational form, so Arrow
+    batches go through dynamic programming over the lines that remain when equal ends are taken off."""
+
+    def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+        lo = 0
+        while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+            lo += 1
+        hi = 0
+        while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+            hi += 1
+        x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [(k, k) for k in range(lo)], 0, 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                out.append((lo + i, lo + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
+
+    def run(batches):
+        for batch in batches:
+            rows = [(p, i + 1, j + 1) for p, o, n in zip(batch.path, batch.old, batch.new, strict=True) for i, j in align(o.split("\n"), n.split("\n"))]
+            yield pd.DataFrame(rows, columns=["path", "old_line", "new_line"])
+
+    return pairs.select("path", "old", "new").mapInPandas(run, "path string, old_line int, new_line int")
 
 
 def insert_at_line(content: Column, line: int, text: str) -> Column:

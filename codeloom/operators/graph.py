@@ -131,3 +131,19 @@ def sibling_implementers(needs: DataFrame, methods: DataFrame, receiver: str) ->
     sat = satisfied(needs, methods)
     mine = sat.where(F.col("receiver") == receiver).select("interface")
     return sat.join(mine, "interface").where(F.col("receiver") != receiver).select("interface", "receiver")
+
+
+def callers_with_fallback(symbols: DataFrame, refs: DataFrame, edges: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
+    """(name_lc, n): for each of names(name_lc) how many symbols refer to it; where none does, how many files have the word at all."""
+    known = refs.groupBy("name_lc").agg(F.count("*").alias("by_refs"))
+    words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]{2,}"), F.lit(0)))).alias("name_lc"))
+    open_names = names.join(known.select("name_lc"), "name_lc", "left_anti")
+    text = words.join(open_names, "name_lc", "left_semi").groupBy("name_lc").agg(F.count("*").alias("by_text"))
+    return names.join(known, "name_lc", "left").join(text, "name_lc", "left").select("name_lc", F.coalesce("by_refs", "by_text", F.lit(0)).cast("long").alias("n"))
+
+
+def narrowed(imports_: DataFrame, defines: DataFrame, used: DataFrame) -> DataFrame:
+    """imports(importer, raw, imported) that mean several files: those that define a name the importer uses, or else the first."""
+    hits = imports_.join(defines.select(F.col("path").alias("imported"), "name"), "imported").join(used.select(F.col("path").alias("importer"), "name"), ["importer", "name"]).select("importer", "raw", "imported").distinct()
+    none = imports_.join(hits.select("importer", "raw").distinct(), ["importer", "raw"], "left_anti").groupBy("importer", "raw").agg(F.min("imported").alias("imported"))
+    return hits.union(none)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
-from codeloom.operators.symbols import importance
+from codeloom.operators.symbols import importance, numbered
 from codeloom.plans.patterns import glob_regex
 
 #: Characters a symbol line is taken to cost when caps are set.
@@ -23,14 +23,6 @@ def visible(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("reach", reach).where("reach IS NULL OR end_line > reach").drop("reach")
 
 
-def file_order(symbols: DataFrame, inbound: DataFrame, by: str = "inbound") -> DataFrame:
-    """(path, place): by in-degree, number of symbols, depth and path; or, by 'depth', depth before in-degree."""
-    files = symbols.groupBy("path").agg(F.count("*").alias("n_symbols")).join(inbound, "path", "left").withColumn("inbound", F.coalesce("inbound", F.lit(0)))
-    files = files.withColumn("depth", F.size(F.split("path", "/")))
-    keys = [F.desc("inbound"), F.desc("n_symbols"), "depth", "path"] if by == "inbound" else ["depth", F.desc("inbound"), "path"]
-    return files.select("path", "n_symbols", F.row_number().over(Window.orderBy(*keys)).alias("place"))
-
-
 def overview(symbols: DataFrame, inbound: DataFrame, budget: int, by: str = "inbound") -> DataFrame:
     """(path, name, kind, start_line, place, spent): lines of the overview that a token budget shows.
 
@@ -105,9 +97,11 @@ def ledger_filter(sites: DataFrame, tier: list[str] | None = None, path_glob: st
 
 
 def short_ids(sites: DataFrame) -> DataFrame:
-    """sites with short_id: the tier's first letter and the number within it in order of path and start."""
-    w = Window.partitionBy("tier").orderBy("path", "start")
-    return sites.withColumn("short_id", F.concat(F.substring("tier", 1, 1), F.row_number().over(w).cast("string")))
+    """sites with short_id: the tier's first letter and the number within it in order of path and start. All sites are numbered by a sort over
+    all partitions; each tier counts from its own first number."""
+    rows = numbered(sites, "tier", "path", "start")
+    starts = rows.groupBy("tier").agg(F.min("rank").alias("first"))
+    return rows.join(starts, "tier").withColumn("short_id", F.concat(F.substring("tier", 1, 1), (F.col("rank") - F.col("first") + 1).cast("string"))).drop("rank", "first")
 
 
 def invalid_sites(sites: DataFrame) -> DataFrame:
@@ -117,8 +111,28 @@ def invalid_sites(sites: DataFrame) -> DataFrame:
     return bad.union(twice)
 
 
-def common_directory(paths: DataFrame) -> DataFrame:
-    """One row: the longest directory that all paths share, from the least and the greatest path."""
-    ends = paths.agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
+def common_directories(paths: DataFrame, *groups: str) -> DataFrame:
+    """(groups, directory): the longest directory that all paths of a group share, from the least and the greatest path."""
+    ends = paths.groupBy(*groups).agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
     a, b = F.split(F.regexp_replace("lo", "/?[^/]*$", ""), "/"), F.split(F.regexp_replace("hi", "/?[^/]*$", ""), "/")
-    return ends.select(F.array_join(F.slice(a, F.lit(1), C.common_parts(a, b).cast("int")), "/").alias("directory"))
+    return ends.select(*groups, F.array_join(F.slice(a, F.lit(1), C.common_parts(a, b).cast("int")), "/").alias("directory"))
+
+
+def next_actions(sites: DataFrame, command: str) -> DataFrame:
+    """(place, action) that the counts of a ledger's tiers leave open: apply what is definite, review what is probable, look at mentions."""
+    n = {t: F.sum((F.col("tier") == t).cast("long")) for t in ("definite", "probable", "mention")}
+    sums = sites.agg(*(F.coalesce(v, F.lit(0)).alias(k) for k, v in n.items()))
+    text = lambda t, verb, flag: F.when(F.col(t) > 0, F.concat(F.lit(f"{verb} "), F.col(t).cast("string"), F.lit(f": {command} {flag}")))
+    rows = F.array(text("definite", "apply", "--apply"), text("probable", "review", "--tier probable"), text("mention", "read", "--tier mention"))
+    return sums.select(F.posexplode(rows).alias("place", "action")).where("action IS NOT NULL")
+
+
+def envelope_summary(results: DataFrame) -> DataFrame:
+    """(op, n, n_failed) of results(op, ok)."""
+    return results.groupBy("op").agg(F.count("*").alias("n"), F.sum((~F.col("ok")).cast("long")).alias("n_failed"))
+
+
+def aggregated_status(reports: DataFrame) -> DataFrame:
+    """One row a component: its worst level and how many reports said so. reports(component, level), 0 is well."""
+    worst = reports.groupBy("component").agg(F.max("level").alias("level"))
+    return worst.join(reports, ["component", "level"]).groupBy("component", "level").agg(F.count("*").alias("n"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
 from codeloom.schema import DEFINITIONS, KIND_ALIASES
+from codeloom.scratch import scratch, written
 
 #: Names with more callers than this take their file's in-degree as popularity; popularity never exceeds the cap.
 MOST_CALLERS, POPULARITY_CAP = 50_000, 65_535
@@ -72,10 +76,19 @@ def quality(kind: Column, span: Column) -> Column:
     return F.when(kind.isin(DEFINITIONS), types).when(kind.isin("function", "method"), F.least(span / 3, F.lit(1.0))).otherwise(F.lit(1.0))
 
 
+#: What paths of mocks and fakes hold; what those of vendored, test, generated and example files hold, begin or end with.
+STAND_INS = ["/mocks/", "/mock_", "_mock.", "mock.go", "/fake_", "fake.go"]
+ASIDE_HOLDS = ["/vendor/", "/testdata/", "/testing/", "/generated/", "/zz_generated", "/examples/", "/samples/"]
+ASIDE_BEGINS = ["vendor/", "examples/", "samples/"]
+ASIDE_ENDS = ["_test.go", "_test.ts", "_test.js", "_test.py", ".test.ts", ".test.js", ".spec.ts", ".spec.js"]
+
+
 def peripheral(path: Column) -> Column:
     """2 for mocks and fakes, 1 for vendored, test, generated and example files, else 0."""
     low = F.lower(path)
-    return F.when(low.rlike(r"(^|/)(mocks?|fakes?)(/|$)|(^|[/_.])(mock|fake)[_.]"), 2).when(low.rlike(r"(^|/)(vendor|third_party|node_modules|tests?|testdata|generated|examples?)(/|$)|_test\.|\.test\.|\.spec\.|(^|/)test_"), 1).otherwise(0)
+    some = lambda test, parts: reduce(operator.or_, (test(low, F.lit(x)) for x in parts))
+    aside = some(F.contains, ASIDE_HOLDS) | some(F.startswith, ASIDE_BEGINS) | some(F.endswith, ASIDE_ENDS)
+    return F.when(some(F.contains, STAND_INS), 2).when(aside, 1).otherwise(0)
 
 
 def name_shape(name: Column) -> Column:
@@ -98,17 +111,18 @@ def popularity(symbols: DataFrame, refs: DataFrame, edges: DataFrame) -> DataFra
     callers = refs.groupBy("name_lc").agg(F.count("*").alias("n_callers"))
     calling = refs.select("name_lc", F.col("path").alias("importer")).distinct()
     weights = inbound.select(F.col("path").alias("importer"), (1 + F.log2(1 + F.col("inbound"))).alias("w"))
+    # what importers call, by imported file: one row a call and edge, summed before it meets the names of that file
+    reached = calling.join(edges.join(weights, "importer", "left"), "importer").groupBy("name_lc", "imported").agg(F.sum(F.coalesce("w", F.lit(1.0))).alias("score"))
     names = symbols.select(F.lower("name").alias("name_lc"), F.col("path").alias("imported")).distinct()
-    reached = names.join(edges, "imported").join(calling, ["name_lc", "importer"]).join(weights, "importer", "left")
-    sums = reached.groupBy("name_lc", "imported").agg(F.sum(F.coalesce("w", F.lit(1.0))).alias("score")).withColumnRenamed("imported", "path")
+    sums = reached.join(names, ["name_lc", "imported"], "left_semi").withColumnRenamed("imported", "path")
     out = symbols.withColumn("name_lc", F.lower("name")).join(callers, "name_lc", "left").join(inbound, "path", "left").join(sums, ["name_lc", "path"], "left")
     hot = F.coalesce("n_callers", F.lit(0)) > MOST_CALLERS
     score = F.when(hot, F.coalesce("inbound", F.lit(0)).cast("double")).otherwise(F.coalesce("score", F.lit(0.0)))
     return out.select("sym_id", F.floor(F.least(score, F.lit(float(POPULARITY_CAP)))).cast("long").alias("popularity"))
 
 
-def ranked(symbols: DataFrame, query: str, inbound: DataFrame) -> DataFrame:
-    """Candidates of a name with tier, score and rank. symbols may have popularity; inbound: (path, inbound).
+def ranked(symbols: DataFrame, query: str, inbound: DataFrame, most: int | None = None) -> DataFrame:
+    """Candidates of a name with tier, score and rank, the first `most` or all. symbols may have popularity; inbound: (path, inbound).
 
     Best span for each file and name; tier 1 equal, 2 holding the query; popularity or in-degree times quality, with boosts for
     definitions, headers and long spans, and reductions for peripheral files; order by tier, score, path."""
@@ -126,14 +140,22 @@ def ranked(symbols: DataFrame, query: str, inbound: DataFrame) -> DataFrame:
     tier = F.when(F.lower("name") == query.lower(), 1).otherwise(2)
     pascal = query[:1].isupper() and not query.isupper()
     score = score + F.when((tier == 1) & (F.col("name") == query), 3).otherwise(0) + F.when(is_def & F.lit(pascal), 3).otherwise(0)
-    rows = rows.withColumns({"tier": tier, "score": score.cast("long")})
-    return _numbered(rows)
+    rows, order = rows.withColumns({"tier": tier, "score": score.cast("long")}), ("tier", F.desc("score"), "path", "start_line")
+    if most is None:
+        return numbered(rows, *order)
+    return rows.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def _numbered(rows: DataFrame, most: int = 1000) -> DataFrame:
-    """rank of the first rows: a sort and limit, so that the numbering window sees a bounded number of rows."""
-    first = rows.orderBy("tier", F.desc("score"), "path", "start_line").limit(most)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("tier", F.desc("score"), "path", "start_line")))
+def numbered(rows: DataFrame, *order) -> DataFrame:
+    """rows with rank by the order. A sort by range puts each stretch of ranks in one partition; counts of the partitions are all that is
+    added up in one place, so no window sees all rows."""
+    with scratch(rows.sparkSession):
+        sort = rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id())
+        held = written(sort.withColumns({"part": F.shiftright("at", 33), "place": F.col("at").bitwiseAND((1 << 33) - 1)}).drop("at"), "ranks", keep=True)
+        sizes = held.groupBy("part").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = written(sizes.select("part", before.alias("before")), "starts", keep=True)
+    return held.join(F.broadcast(starts), "part").withColumn("rank", (F.col("before") + F.col("place") + 1).cast("int")).drop("part", "place", "before")
 
 
 def shortlist(ranked_: DataFrame, k: int = 10) -> DataFrame:
@@ -175,3 +197,68 @@ def skeleton(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """Lines of a file that are no symbol's body; heads of symbols stay."""
     inside = lines.join(symbols.select("path", "start_line", "end_line"), "path").where("line > start_line AND line <= end_line").select("path", "line").distinct()
     return lines.join(inside, ["path", "line"], "left_anti")
+
+
+def header_degree(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, degree): how many files import a file, where no popularity is known; a header and the source of its name in one folder share theirs."""
+    inbound = edges.groupBy(F.col("imported").alias("path")).agg(F.count("*").alias("n"))
+    rows = files.select("path").join(inbound, "path", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    header = C.extension("path").isin(".h", ".hpp", ".hh", ".hxx")
+    heads = rows.where(header).select(F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), F.col("n").alias("of_header")).groupBy("stem").agg(F.max("of_header").alias("of_header"))
+    source = C.extension("path").isin(".c", ".cc", ".cpp", ".cxx")
+    rows = rows.withColumn("stem", F.when(source, F.regexp_replace("path", r"\.[^./]*$", "")))
+    return rows.join(heads, "stem", "left").select("path", F.greatest("n", F.coalesce("of_header", F.lit(0))).cast("long").alias("degree"))
+
+
+def command_suggestions(typed: DataFrame, commands: list[str], most: int = 3) -> DataFrame:
+    """(doc_id, command, distance): for each of typed(doc_id, typed) the nearest command within `most` edits, the first of equals."""
+    near = F.array_sort(F.array(*(F.struct(F.levenshtein("typed", F.lit(c)).alias("distance"), F.lit(c).alias("command")) for c in commands)))
+    best = typed.select("doc_id", F.get(near, F.lit(0)).alias("b"))
+    return best.select("doc_id", "b.command", "b.distance").where(F.col("distance") <= most)
+
+
+def not_found(names: DataFrame, symbols: DataFrame, lines: DataFrame) -> DataFrame:
+    """names(.., name) with found: whether a name is a symbol, at least a word of lines(text), or nothing."""
+    known = symbols.select(F.lower("name").alias("name")).distinct().withColumn("s", F.lit(True))
+    words = lines.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{2,}"), F.lit(0))).alias("name")).distinct().withColumn("w", F.lit(True))
+    rows = names.join(known, "name", "left").join(words, "name", "left")
+    return rows.withColumn("found", F.when(F.col("s"), "symbol").when(F.col("w"), "text").otherwise("nothing")).select(*names.columns, "found")
+
+
+def container_stubs(symbols: DataFrame) -> DataFrame:
+    """(path, sym_id, name, members): types with the names of what they hold, in order, without bodies."""
+    inner = symbols.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("sym_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_line", "name"))), lambda x: x["name"]), ", ").alias("members"))
+    types = symbols.where(F.col("kind").isin(DEFINITIONS))
+    return types.join(inner, "sym_id", "left").select("path", "sym_id", "name", F.coalesce("members", F.lit("")).alias("members"))
+
+
+def outline(symbols: DataFrame) -> DataFrame:
+    """symbols with depth: how many symbols of the file hold them."""
+    around = symbols.select("path", "sym_id", "parent_id")
+    depth, level = F.lit(0), symbols.withColumn("up", F.col("parent_id"))
+    for _ in range(4):
+        depth = depth + F.col("up").isNotNull().cast("int")
+        level = level.withColumn("depth", depth).drop("up_")
+        level = level.join(around.select(F.col("sym_id").alias("up"), F.col("parent_id").alias("up_")), "up", "left").drop("up").withColumnRenamed("up_", "up")
+        depth = F.col("depth")
+    return level.drop("up")
+
+
+def collapsed_blocks(lines: DataFrame, least: int = 2) -> DataFrame:
+    """(path, line, hidden): heads of indented blocks inside blocks (deeper than one step), and how many lines below each are deeper, to the next line
+    that is not: what a collapsed view hides."""
+    depth = F.length(F.regexp_extract("text", r"^( *)", 1))
+    rows = lines.where(F.trim("text") != "").withColumn("depth", depth)
+    w = Window.partitionBy("path").orderBy("line")
+    rows = rows.withColumn("after", F.lead("depth").over(w)).where("after > depth AND depth > 0 OR depth = -1")
+    deeper = lines.where(F.trim("text") != "").select("path", F.col("line").alias("at"), depth.alias("d"))
+    ends = rows.join(deeper, "path").where("at > line").groupBy("path", "line", "depth").agg(F.min(F.when(F.col("d") <= F.col("depth"), F.col("at"))).alias("stop"))
+    inside = rows.select("path", "line", "depth").join(ends.select("path", "line", "stop"), ["path", "line"]).join(deeper, "path").where("at > line AND (stop IS NULL OR at < stop)")
+    return inside.groupBy("path", "line").agg(F.count("*").cast("int").alias("hidden")).where(F.col("hidden") >= 1)
+
+
+def collapsed_imports(lines: DataFrame) -> DataFrame:
+    """(path, first, last): blocks of import lines of two lines or more, from the first to the closing bracket."""
+    opens = lines.where(F.col("text").rlike(r"^import \($")).select("path", F.col("line").alias("first"))
+    closes = lines.where(F.trim("text") == ")").select("path", F.col("line").alias("last"))
+    return opens.join(closes, "path").where("last > first").groupBy("path", "first").agg(F.min("last").alias("last"))

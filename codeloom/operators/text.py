@@ -124,9 +124,9 @@ def name_matches(name: Column, pattern: str) -> Column:
 
 
 def word_spans(files: DataFrame, name: str) -> DataFrame:
-    r"""(path, start, end, line): byte spans of `\bname\b`, from the lengths of what lies between them."""
+    r"""(path, start, end, line): byte spans of the name as a whole word, from the lengths of what lies between them."""
     n = len(name.encode())
-    parts = F.split("content", rf"\b{patterns.re.escape(name)}\b", -1)
+    parts = F.split("content", C.whole_word(name), -1)
     rows = files.where(F.contains("content", F.lit(name))).select("path", parts.alias("parts"))
     rows = rows.where(F.size("parts") > 1).select("path", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
     before = F.array_join(F.slice("parts", F.lit(1), F.col("k")), "")

@@ -17,14 +17,12 @@ from codeloom.operators import edits, graph, overview, symbols, text
 from codeloom.plans import patterns
 from codeloom.sources.repo import read_repo
 
-#: The index is asked from this many bytes of content; smaller trees are scanned, which is faster.
-INDEX_FROM_BYTES = 64 << 20
-
 
 class Repo:
-    def __init__(self, files: DataFrame):
-        """files: path and content (text or bytes)."""
-        self.spark = files.sparkSession
+    def __init__(self, files: DataFrame, postings: DataFrame | None = None):
+        """files: path and content (text or bytes). postings: those of a stored index of the same files; searches that can meet it first do, with
+        equal results."""
+        self.spark, self.postings = files.sparkSession, postings
         kind = dict(files.dtypes)["content"]
         self.bytes = files.select("path", F.col("content").cast("binary").alias("content")) if kind == "string" else files.select("path", "content")
         self.table = files.select("path", F.decode("content", "UTF-8").alias("content") if kind == "binary" else F.col("content"))
@@ -33,10 +31,6 @@ class Repo:
     def of_tree(cls, spark: SparkSession, root: str, directory: str = "") -> Repo:
         return cls(read_repo(spark, root, directory).cache())
 
-    @cached_property
-    def postings(self) -> DataFrame:
-        return text.postings(self.table).cache()
-
     @cached_property
     def symbols(self) -> DataFrame:
         return parsers.parse_symbols(self.bytes).cache()
@@ -56,14 +50,10 @@ class Repo:
         found = graph.resolved_imports(wanted, graph.suffixes(self.table))
         return found.where("importer <> imported").select("importer", "imported").distinct()
 
-    def _indexed(self) -> DataFrame | None:
-        size = self.table.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-        return self.postings if size >= INDEX_FROM_BYTES else None
-
     def files(self, pattern: str, regex: bool = False, glob: str | None = None, budget: int | None = None) -> DataFrame:
-        out = text.find_files(self.table, pattern, regex, glob, self._indexed())
+        out = text.find_files(self.table, pattern, regex, glob, self.postings)
         if not regex and patterns.has_alternation(pattern) and out.isEmpty():
-            again = text.find_files(self.table, pattern, True, glob, self._indexed())
+            again = text.find_files(self.table, pattern, True, glob, self.postings)
             out = out if again.isEmpty() else again
         return text.budgeted(out, budget) if budget else out
 
@@ -77,10 +67,10 @@ class Repo:
     def focus(self, name: str, k: int = 10) -> DataFrame:
         """Ranked definitions of a name; snake case is tried too, and then text."""
         inbound = graph.in_degree(self.table, self.edges)
-        found = symbols.shortlist(symbols.ranked(self.symbols, name, inbound), k)
+        found = symbols.shortlist(symbols.ranked(self.symbols, name, inbound, k), k)
         if found.isEmpty():
             snake = patterns.re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()
-            found = symbols.shortlist(symbols.ranked(self.symbols, snake, inbound), k)
+            found = symbols.shortlist(symbols.ranked(self.symbols, snake, inbound, k), k)
         return self.search(name) if found.isEmpty() else found.select("path", "name", "kind", "start_line", "end_line", "score", "rank", "body")
 
     def callers(self, name: str) -> DataFrame:

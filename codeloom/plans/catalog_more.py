@@ -13,6 +13,7 @@ from codeloom.operators import edits as E
 from codeloom.operators import overview as O
 from codeloom.operators import reach as R
 from codeloom.operators import text as T
+from codeloom.plans import generated as G
 from codeloom.plans.adapters import FILES, LINES, files
 from codeloom.plans.catalog_state import CHANGES, TREE, _snapshots, _sql, _tables
 from codeloom.plans.catalog_text import TRI
@@ -31,11 +32,20 @@ def _values(name, columns, rows, query):
 
 
 _rows = lambda s, xs, schema: s.createDataFrame(xs, schema)
-_PATHS = ["a/.git/config", "src/.codeloom/x", "src/main.go", ".claude/y", "git/z.py"]
-_values("sc3", "path, ignored", [("a/.git/config", True), ("src/.codeloom/x", True), ("src/main.go", False), (".claude/y", True), ("git/z.py", False)], lambda s, d: _rows(s, [(p,) for p in _PATHS], "path string").select("path", F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, sorted(repo.ALWAYS)))).alias("ignored")))
-_IGNORE = ["*.log", "!keep.log", "out/", "/top.txt", "docs/**/a.md"]
-_CASES = [("x/a.log", True), ("x/keep.log", False), ("top.txt", True), ("d/top.txt", False), ("docs/a.md", True), ("docs/x/y/a.md", True), ("a.md", False)]
-_values("sc6", "path, ignored", _CASES, lambda s, d: _rows(s, [(p, repo.ignored([repo.Rule(x) for x in _IGNORE], p, False)) for p, _ in _CASES], "path string, ignored boolean"))
+
+
+def _tagged(name, schema, values, names, query, moved=(), prefix=()):
+    """A query over the rows, once a document, given as (columns of the input, columns that the query adds): SQL has both."""
+    given, added = schema
+    n = len(given.split(","))
+    Q[name] = lambda s, d: query(G.rows(s, d, [v[:n] for v in values], given, names))
+    S[name] = G.answer(", ".join(c.split()[0] for c in f"{given}, {added}".split(", ")), values, names, moved, prefix)
+
+
+_tagged("sc3", ("path string", "ignored boolean"), [("a/.git/config", True), ("src/.codeloom/x", True), ("src/main.go", False), (".claude/y", True), ("git/z.py", False)], ["a", "src", "x", "y", "main", "z", "config"], lambda r: r.select("path", F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, sorted(repo.ALWAYS)))).alias("ignored")))
+_IGNORE = ["*.log", "!keep_*.log", "out/", "/top_*.txt", "docs/**/a_*.md"]
+_CASES = [("x/a.log", True), ("x/keep.log", False), ("top.txt", True), ("d/top.txt", False), ("docs/a.md", True), ("docs/x/y/a.md", True), ("a.md", False), ("out/b.c", True)]
+_tagged("sc6", ("path string", "ignored boolean"), _CASES, ["a", "x", "y", "keep", "top", "b"], lambda r: repo.ignored_paths(r.select("path"), _IGNORE))
 Q["sc8"] = lambda s, d: files(s, d).select("path", F.expr("contains(substring(encode(content, 'UTF-8'), 1, 512), X'00')").alias("binary"))
 S["sc8"] = f"WITH {FILES} SELECT path, contains(substr(content, 1, 512), chr(0)) AS binary FROM files"
 
@@ -79,9 +89,14 @@ _REACH = {
     "gr28": [("App\\Models\\User", "a.php", "src/app/models/User.php", True), ("App\\Http\\X", "a.php", "src/app/models/User.php", False)],
     "gr29": [("Networking", "a.swift", "Sources/Networking/Client.swift", True), ("Other", "a.swift", "Sources/Networking/Client.swift", False)],
 }
+_REACH_NAMES = {
+    "gr20": ["queue", "main", "q"], "gr21": ["lib", "a", "app", "pkg"], "gr22": ["example", "Service", "Main", "Other"], "gr23": ["queue", "app", "util"], "gr24": ["inc", "x", "b"], "gr25": ["thing", "a"],
+    "gr26": ["tcp", "util", "main", "b"], "gr27": ["A", "Invoice"], "gr28": ["User", "a"], "gr29": ["Networking", "Client", "Other"],
+}
 for _name, _cases in _REACH.items():
-    _values(_name, "raw, importer, target, reaches", [(a.replace("'", "''"), b, c, e) for a, b, c, e in _cases], lambda s, d, xs=_cases: _rows(s, [x[:3] for x in xs], "raw string, importer string, target string").withColumn("reaches", R.import_reaches(F.col("raw"), F.col("importer"), F.col("target"))))
-_values("gr19", "path", [("lib/q.py",), ("lib/other.py",), ("app.py",)], lambda s, d: R.reaching(_rows(s, [("lib/q.py", "x"), ("lib/other.py", "y"), ("app.py", "lib.q"), ("b/c.py", "z"), ("lib/d.go", "lib.q")], "importer string, raw string"), "lib/q.py"))
+    _tagged(_name, ("raw string, importer string, target string", "reaches boolean"), _cases, _REACH_NAMES[_name], lambda r: r.select("raw", "importer", "target", R.import_reaches(F.col("raw"), F.col("importer"), F.col("target")).alias("reaches")))
+Q["gr19"] = lambda s, d: R.reaching(G.rows(s, d, [("lib/q.py", "x"), ("lib/other.py", "y"), ("app.py", "lib.q"), ("b/c.py", "z"), ("lib/d.go", "lib.q"), ("all.py", "lib.q")], "importer string, raw string", ["other", "app"]), "lib/q.py").where("path <> 'lib/q.py'")
+S["gr19"] = f"WITH {G.DOCS} SELECT 'lib/other' || tag || '.py' AS path FROM docs UNION ALL SELECT 'app' || tag || '.py' FROM docs UNION ALL SELECT 'all.py'"
 
 #: One small source a language; its symbols are known.
 _SOURCES = [
@@ -100,11 +115,19 @@ _SOURCES = [
     ("sy14", "a.lua", "local function f(a)\n  return a\nend\n", [("f", "function", 1, 3)]),
     ("sy15", "a.zig", "pub const P = struct {\n  fn m() void {}\n};\n", [("P", "struct", 1, 3), ("m", "method", 2, 2)]),
 ]
+_NAMES = {n: sorted({w[0] for w in want}) for n, _, _, want in _SOURCES}
 for _name, _path, _code, _want in _SOURCES:
-    _values(_name, "name, kind, start_line, end_line", _want, lambda s, d, p=_path, c=_code: parsers.parse_symbols(_rows(s, [(p, bytearray(c.encode()))], "path string, content binary")).select("name", "kind", "start_line", "end_line"))
-_values("sy1", "path, n", [(p, len(w)) for _, p, _, w in _SOURCES], lambda s, d: parsers.parse_symbols(_rows(s, [(p, bytearray(c.encode())) for _, p, c, _ in _SOURCES], "path string, content binary")).groupBy("path").agg(F.count("*").cast("int").alias("n")))
-_values("sy16", "name, receiver", [("M", "T"), ("m", "A")], lambda s, d: parsers.parse_symbols(_rows(s, [(p, bytearray(c.encode())) for _, p, c, _ in _SOURCES[:2]], "path string, content binary")).where("receiver IS NOT NULL").select("name", "receiver"))
-_values("gr9", "path, raw", [("a.py", "os"), ("a.py", "x.y"), ("b.go", "fmt")], lambda s, d: parsers.parse_imports(_rows(s, [("a.py", bytearray(b"import os\nfrom x.y import z\n")), ("b.go", bytearray(b'package b\nimport "fmt"\n'))], "path string, content binary")))
+    Q[_name] = lambda s, d, p=_path, c=_code, n=_NAMES[_name]: parsers.parse_symbols(G.sources(s, d, [(p, c)], n)).select("path", "name", "kind", "start_line", "end_line")
+    S[_name] = G.answer("path, name, kind, start_line, end_line", [(_path, *w) for w in _want], _NAMES[_name])
+_ALL = [(p, c) for _, p, c, _ in _SOURCES]
+Q["sy1"] = lambda s, d: parsers.parse_symbols(G.sources(s, d, [(f"{k}_{p}", c) for k, (p, c) in enumerate(_ALL)], ["a"])).select("path").withColumn("language", F.element_at(F.split("path", r"\."), -1)).groupBy("language").agg(F.count("*").alias("n"))
+S["sy1"] = f"WITH {G.DOCS} SELECT language, n * (SELECT count(*) FROM docs) AS n FROM {_sql([(p.split('.')[1], len(w)) for _, p, _, w in _SOURCES], 'language, n')}"
+Q["sy16"] = lambda s, d: parsers.parse_symbols(G.sources(s, d, _ALL[:2], ["T", "M", "A", "m"])).where("receiver IS NOT NULL").select("path", "name", "receiver")
+S["sy16"] = G.answer("path, name, receiver", [("a.go", "M", "T"), ("a.py", "m", "A")], ["T", "M", "A", "m"])
+_IMPORTING = [("a.py", "import os\nfrom x.y import z\n"), ("b.go", 'package b\nimport "fmt"\nimport (\n  q "app/q"\n)\n'), ("c.ts", "import { a } from './lib';\nconst f = require('fs');\n"), ("D.java", "import org.x.Y;\n"), ("e.rs", "use crate::net::tcp;\n"), ("f.c", '#include "inc/x.h"\n'), ("g.rb", "require 'lib/thing'\n")]
+_RAWS = [("a.py", "os"), ("a.py", "x.y"), ("b.go", "fmt"), ("b.go", "app/q"), ("c.ts", "./lib"), ("c.ts", "fs"), ("D.java", "org.x.Y"), ("e.rs", "crate::net::tcp"), ("f.c", "inc/x.h"), ("g.rb", "lib/thing")]
+Q["gr9"] = lambda s, d: parsers.parse_imports(G.sources(s, d, _IMPORTING, ["os", "y", "fmt", "q", "lib", "Y", "tcp", "x", "thing"]))
+S["gr9"] = G.answer("path, raw", _RAWS, ["os", "y", "fmt", "q", "lib", "Y", "tcp", "x", "thing"])
 
 _IMPORT_DECLS = [("app.ts", 1, "run", "value", 1, False, "./lib", "go"), ("lib.ts", 1, "go", "value", 1, True, None, None), ("lib.ts", 2, "go", "type", 1, True, None, None), ("app.ts", 2, "all", "value", 1, False, "./lib", "*")]
 
@@ -116,27 +139,27 @@ def _linked(s, d):
 
 
 _values("bd26", "ord, decl_id, reason", [(1, "lib.ts:1", "import_export"), (2, "app.ts:2", "direct_scope"), (3, None, "missing_import")], _linked)
-Q["bd40"] = lambda s, d: B.namespace(_tables(s, d)[1], B.siblings(_tables(s, d)[1].withColumn("exported", F.col("name") == "top")).where("path < 'NATION_2'"))
-S["bd40"] = f"WITH RECURSIVE {TREE} SELECT path, name, decl_id, 'local' AS source FROM decls WHERE scope_id = 1 UNION ALL SELECT h.path, d.name, d.decl_id, 'same_directory' FROM (SELECT DISTINCT path FROM decls) h JOIN decls d ON d.path <> h.path WHERE d.scope_id = 1 AND d.name = 'top' AND h.path < 'NATION_2'"
-Q["bd41"] = lambda s, d: B.names_match(B.namespace(_tables(s, d)[1], B.siblings(_tables(s, d)[1].withColumn("exported", F.lit(True)))), "top", "NATION_7:1")
-S["bd41"] = "SELECT n_name AS path FROM nation"
-Q["bd65"] = lambda s, d: B.cross_file_refs(_tables(s, d)[2].drop("reason").join(B.bind(*_tables(s, d), ["print"]), ["path", "ord"]), "NATION_7", "item").select("path", "ord", "reason")
-S["bd65"] = "SELECT n_name AS path, unnest([1, 9]) AS ord, 'cross_file_import' AS reason FROM nation WHERE n_name <> 'NATION_7'"
-Q["rn23"] = lambda s, d: E.doc_comment_starts(_rows(s, [("a", i + 1, x) for i, x in enumerate(["x", "// one", "// two", "func f", "// far", "", "func g"])], "path string, line int, text string"), _rows(s, [("a", 4), ("a", 7)], "path string, line int"), "//")
-S["rn23"] = "SELECT * FROM (VALUES ('a', 4, 2), ('a', 7, 7)) t(path, line, first)"
-Q["ov10"] = lambda s, d: _rows(s, [("a_test.go",), ("src/tests/x.py",), ("lib/a.go",), ("b.spec.ts",)], "path string").select("path", O.is_test(F.col("path")).alias("test"))
-S["ov10"] = "SELECT * FROM (VALUES ('a_test.go', true), ('src/tests/x.py', true), ('lib/a.go', false), ('b.spec.ts', true)) t(path, test)"
-Q["ov12"] = lambda s, d: files(s, d).where(~F.col("content").rlike("[^\\x00-\\x7F]")).select("path", F.decode(F.substring(F.encode("content", "UTF-8"), 5, 20), "UTF-8").alias("body"))
-S["ov12"] = f"WITH {FILES} SELECT path, substr(content, 5, 20) AS body FROM files WHERE NOT regexp_matches(content, '[^\\x00-\\x7F]')"
+Q["bd40"] = lambda s, d: B.namespace(_tables(s, d)[1], B.siblings(_tables(s, d)[1].withColumn("exported", F.col("name") == "top")))
+S["bd40"] = f"WITH RECURSIVE {TREE} SELECT path, name, decl_id, 'local' AS source FROM decls WHERE scope_id = 1 UNION ALL SELECT h.path, d.name, d.decl_id, 'same_directory' FROM p h JOIN decls d ON d.path <> h.path AND split_part(d.path, '/', 1) = split_part(h.path, '/', 1) WHERE d.scope_id = 1 AND d.name = 'top'"
+Q["bd41"] = lambda s, d: B.names_match(B.namespace(_tables(s, d)[1], B.siblings(_tables(s, d)[1].withColumn("exported", F.lit(True)))), "top", "d7/7.x:1")
+S["bd41"] = f"WITH RECURSIVE {TREE} SELECT path FROM p WHERE k % 40 = 7"
+Q["bd65"] = lambda s, d: B.cross_file_refs(_tables(s, d)[2].drop("reason").join(B.bind(*_tables(s, d), ["print"]), ["path", "ord"]), "d7/7.x", "item").select("path", "ord", "reason")
+S["bd65"] = f"WITH RECURSIVE {TREE} SELECT path, unnest([1, 9]) AS ord, 'cross_file_import' AS reason FROM p WHERE path <> 'd7/7.x'"
+_COMMENTED = ["x", "// one", "// two", "func f", "// far", "", "func g"]
+_in_folder = lambda r: r.withColumn("path", F.concat("dir", "path"))
+Q["rn23"] = lambda s, d: E.doc_comment_starts(_in_folder(G.rows(s, d, [("a", i + 1, x) for i, x in enumerate(_COMMENTED)], "path string, line int, text string", ["a", "one", "f"])).withColumn("line", (F.col("line") + F.col("shift")).cast("int")).select("path", "line", "text"), _in_folder(G.rows(s, d, [("a", 4), ("a", 7)], "path string, line int", ["a"])).withColumn("line", (F.col("line") + F.col("shift")).cast("int")).select("path", "line"), "//")
+S["rn23"] = G.answer("path, line, first", [("a", 4, 2), ("a", 7, 7)], ["a"], ("line", "first"))
+_tagged("ov10", ("path string", "test boolean"), [("src/a_test.go", True), ("src/tests/x.py", True), ("lib/a.go", False), ("src/b.spec.ts", True)], ["src", "x", "a"], lambda r: r.select("path", O.is_test(F.col("path")).alias("test")))
+Q["ov12"] = lambda s, d: files(s, d).select("path", F.hex(F.substring(F.encode("content", "UTF-8"), 5, 20)).alias("body"))
+S["ov12"] = f"WITH {FILES} SELECT path, substr(hex(encode(content)), 9, 40) AS body FROM files"
 Q["ov14"] = lambda s, d: T.lines(files(s, d)).where("line = 1").unionByName(T.lines(files(s, d)).where("line = 2")).select("path", "line", F.length("text").alias("n"))
 S["ov14"] = f"WITH {LINES} SELECT path, line::INTEGER AS line, length(text) AS n FROM lines WHERE line <= 2"
 _values("ov15", "n, budget, share", [(1, 1000, 1000), (3, 1000, 500), (200, 1000, 50)], lambda s, d: _rows(s, [(n, b, O.shared_budgets(n, b)) for n, b in ((1, 1000), (3, 1000), (200, 1000))], "n int, budget int, share int"))
 Q["ed10"] = lambda s, d: E.guarded(files(s, d).select("path", F.lit(0).alias("start_byte"), F.when(F.col("doc_id") % 2 == 0, F.sha2(F.encode("content", "UTF-8"), 256)).otherwise("stale").alias("expect_hash")), files(s, d)).select("path")
 S["ed10"] = f"WITH {FILES} SELECT path FROM files WHERE doc_id % 2 = 0"
-Q["ed14"] = lambda s, d: E.unified_diff(_rows(s, [("a", "x\ny\n", "x\nz\n")], "path string, old string, new string"))
-S["ed14"] = "SELECT 'a' AS path, '--- a/a' || chr(10) || '+++ b/a' || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || ' x' || chr(10) || '-y' || chr(10) || '+z' || chr(10) AS diff"
-Q["gr31_parts"] = lambda s, d: _rows(s, [("a/b/c", "a/b/d"), ("a/b/c", "x"), ("a", "a")], "x string, y string").select("x", "y", C.path_distance("x", "y").alias("distance"))
-S["gr31_parts"] = "SELECT * FROM (VALUES ('a/b/c', 'a/b/d', 2::BIGINT), ('a/b/c', 'x', 4::BIGINT), ('a', 'a', 0::BIGINT)) t(x, y, distance)"
+Q["ed14"] = lambda s, d: E.unified_diff(G.rows(s, d, [("a", "x\ny\n", "x\nz\n")], "path string, old string, new string", ["a", "x", "y", "z"]).select("path", "old", "new"))
+S["ed14"] = f"WITH {G.DOCS} SELECT 'a' || tag AS path, '--- a/a' || tag || chr(10) || '+++ b/a' || tag || chr(10) || '@@ -1,2 +1,2 @@' || chr(10) || ' x' || tag || chr(10) || '-y' || tag || chr(10) || '+z' || tag || chr(10) AS diff FROM docs"
+_tagged("gr31_parts", ("x string, y string", "distance int"), [("a/b/c", "a/b/d", 2), ("a/b/c", "x", 4), ("a", "a", 0)], ["a", "c", "x"], lambda r: r.select("x", "y", C.path_distance("x", "y").cast("int").alias("distance")))
 
 #: One small source a language; its declarations are known.
 _SCOPED = [
@@ -156,5 +179,8 @@ _SCOPED = [
     ("bd15", "a.zig", "fn f(a: u8) void {\n    const b = a;\n}\n", [("f", "function"), ("a", "parameter"), ("b", "variable")]),
 ]
 for _name, _path, _code, _want in _SCOPED:
-    _values(_name, "name, kind", _want, lambda s, d, p=_path, c=_code: scopes.parse_scopes(_rows(s, [(p, bytearray(c.encode()))], "path string, content binary"))[1].select("name", "kind"))
-_values("bd1", "path, n", [(p, len(w)) for _, p, _, w in _SCOPED], lambda s, d: scopes.parse_scopes(_rows(s, [(p, bytearray(c.encode())) for _, p, c, _ in _SCOPED], "path string, content binary"))[1].groupBy("path").agg(F.count("*").cast("int").alias("n")))
+    _n = sorted({w[0] for w in _want})
+    Q[_name] = lambda s, d, p=_path, c=_code, n=_n: scopes.parse_scopes(G.sources(s, d, [(p, c)], n))[1].select("path", "name", "kind")
+    S[_name] = G.answer("path, name, kind", [(_path, *w) for w in _want], _n)
+Q["bd1"] = lambda s, d: scopes.parse_scopes(G.sources(s, d, [(p, c) for _, p, c, _ in _SCOPED], []))[1].groupBy("path").agg(F.count("*").cast("int").alias("n"))
+S["bd1"] = f"WITH {G.DOCS} SELECT dir || path AS path, CAST(sum(n) AS INTEGER) AS n FROM docs, {_sql([(p, len(w)) for _, p, _, w in _SCOPED], 'path, n')} GROUP BY 1"

@@ -8,6 +8,7 @@ from codeloom.functions import columns as C
 from codeloom.operators import graph as G
 from codeloom.operators import symbols as Y
 from codeloom.operators import text as T
+from codeloom.plans import generated as made
 from codeloom.plans.adapters import EDGES, FILES, REFS, SYMBOLS, edges, files, refs, symbols, table
 
 Q: dict = {}
@@ -54,28 +55,31 @@ scored AS (SELECT *, CASE WHEN lower(name) = 'tion' THEN 1 ELSE 2 END AS tier, (
 ranked AS (SELECT *, row_number() OVER (ORDER BY tier, score DESC, path, start_line) AS rank FROM scored)"""
 
 
-def _ranked(s, d):
-    return Y.ranked(symbols(s, d), "Tion", edges(s, d).groupBy(F.col("imported").alias("path")).agg(F.count("*").alias("inbound")))
+def _ranked(s, d, most=10):
+    return Y.ranked(symbols(s, d), "Tion", edges(s, d).groupBy(F.col("imported").alias("path")).agg(F.count("*").alias("inbound")), most)
 
 
-Q["sy34"] = lambda s, d: _ranked(s, d).where("rank <= 200").select("sym_id", "tier", "score", F.col("rank").cast("long").alias("rank"))
-S["sy34"] = f"WITH {SYMBOLS}, {EDGES}, {RANK} SELECT sym_id, tier, score, rank FROM ranked WHERE rank <= 200"
+Q["sy34"] = lambda s, d: _ranked(s, d, None).select("sym_id", "tier", "score", F.col("rank").cast("long").alias("rank"))
+S["sy34"] = f"WITH {SYMBOLS}, {EDGES}, {RANK} SELECT sym_id, tier, score, rank FROM ranked"
 Q["sy35"] = lambda s, d: Y.auto_resolves(_ranked(s, d), "Tion")
 S["sy35"] = f"WITH {SYMBOLS}, {EDGES}, {RANK} SELECT coalesce(max(tier) FILTER (rank = 1) = 1 AND (count(*) FILTER (rank = 2) = 0 OR max(tier) FILTER (rank = 2) = 2 OR (max(score) FILTER (rank = 1) > 50 AND max(score) FILTER (rank = 1) > max(score) FILTER (rank = 2) AND max(score) FILTER (rank = 1) >= 2 * max(score) FILTER (rank = 2)) OR max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) >= 30), false) AS resolves FROM ranked"
 Q["sy36"] = lambda s, d: Y.shortlist(_ranked(s, d)).select("sym_id", "name", "score")
 S["sy36"] = f"WITH {SYMBOLS}, {EDGES}, {RANK} SELECT sym_id, name, score FROM ranked WHERE rank <= 10"
 Q["sy37"] = lambda s, d: symbols(s, d).select("sym_id", F.round(Y.quality(F.col("kind"), F.col("end_line") - F.col("start_line") + 1), 4).alias("quality"))
 S["sy37"] = f"WITH {SYMBOLS} SELECT sym_id, round({QUAL.replace('span', '(end_line - start_line + 1)')}, 4)::DOUBLE AS quality FROM symbols"
-PATHS = ["pkg/mocks/a.go", "vendor/x/y.go", "src/app_test.go", "src/main.go", "fake_db.py", "examples/run.py", "lib/test_a.py", "a/generated/b.ts"]
-Q["sy38"] = lambda s, d: s.range(1).select(F.explode(F.array(*map(F.lit, PATHS))).alias("path")).select("path", Y.peripheral(F.col("path")).alias("level"))
-S["sy38"] = "SELECT * FROM (VALUES ('pkg/mocks/a.go', 2), ('vendor/x/y.go', 1), ('src/app_test.go', 1), ('src/main.go', 0), ('fake_db.py', 2), ('examples/run.py', 1), ('lib/test_a.py', 1), ('a/generated/b.ts', 1)) t(path, level)"
+LEVELS = [
+    ("pkg/mocks/a.go", 2), ("pkg/mock_a.go", 2), ("pkg/a_mock.go", 2), ("pkg/mock.go", 2), ("db/fake_a.py", 2), ("db/fake.go", 2), ("vendor/a/y.go", 1), ("x/vendor/a.c", 1), ("pkg/testdata/a.go", 1), ("pkg/testing/a.go", 1), ("src/a_test.go", 1), ("src/a.spec.ts", 1),
+    ("k8s/zz_generated.a.go", 1), ("a/generated/b.ts", 1), ("examples/a.py", 1), ("x/samples/a.py", 1), ("src/a.go", 0), ("tests/a.py", 0), ("third_party/a.c", 0), ("lib/test_a.py", 0),
+]
+Q["sy38"] = lambda s, d: made.rows(s, d, [x[:1] for x in LEVELS], "path string", ["a", "fake_a", "mock_a"]).select("path", Y.peripheral(F.col("path")).alias("level"))
+S["sy38"] = made.answer("path, level", LEVELS, ["a", "fake_a", "mock_a"], (), ())
 Q["sy39"] = lambda s, d: symbols(s, d).select("sym_id", Y.name_shape(F.col("name")).alias("shape"))
 S["sy39"] = f"WITH {SYMBOLS} SELECT sym_id, CASE WHEN regexp_matches(name, '^[A-Z][A-Z0-9_]+$') THEN 'const' WHEN regexp_matches(name, '^[A-Z]') THEN 'type' ELSE 'function' END AS shape FROM symbols"
 POP = """inbound AS (SELECT imported AS path, count(*) AS inbound FROM edges GROUP BY 1), calling AS (SELECT DISTINCT name_lc, path AS importer FROM refs),
 reached AS (SELECT n.name_lc, n.path, sum(1 + log2(1 + coalesce(i.inbound, 0))) AS score FROM (SELECT DISTINCT lower(name) AS name_lc, path FROM symbols) n JOIN edges e ON e.imported = n.path JOIN calling c ON c.name_lc = n.name_lc AND c.importer = e.importer LEFT JOIN inbound i ON i.path = e.importer GROUP BY 1, 2)"""
 Q["sy41"] = lambda s, d: Y.popularity(symbols(s, d), refs(s, d), edges(s, d))
 S["sy41"] = f"WITH {REFS}, {EDGES}, {POP} SELECT sym_id, trunc(least(coalesce(score, 0), 65535))::BIGINT AS popularity FROM symbols s LEFT JOIN reached r ON r.name_lc = lower(s.name) AND r.path = s.path"
-_ascii = lambda s, d: symbols(s, d).where(~F.col("name").rlike("[^\\x00-\\x7F]"))
+_ascii = lambda s, d: symbols(s, d)
 Q["sy43"] = lambda s, d: Y.similar_names(_ascii(s, d), "thingtion").select("name", F.col("distance").cast("long").alias("distance"))
 S["sy43"] = f"""WITH {SYMBOLS}, n AS (SELECT DISTINCT name, lower(name) AS low FROM symbols), m AS (SELECT name, contains(low, 'thingtion') OR contains('thingtion', low) AS holds, low FROM n WHERE low <> 'thingtion'),
 x AS (SELECT name, holds, CASE WHEN holds THEN abs(length(low) - 9) ELSE levenshtein(low, 'thingtion') END AS distance FROM m) SELECT name, distance::BIGINT AS distance FROM x WHERE holds OR distance <= 3 ORDER BY distance, name LIMIT 5"""
@@ -144,8 +148,6 @@ def _chain(s, d):
 
 
 CHAIN = "e AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey + 5 < 25)"
-Q["gr36"] = lambda s, d: G.closure(_chain(s, d), s.createDataFrame([(3,), (9,)], "seed int"))
-S["gr36"] = f"WITH RECURSIVE {CHAIN}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(seed, node) AS (SELECT * FROM (VALUES (3, 3), (9, 9)) UNION SELECT c.seed, u.b FROM c JOIN u ON u.a = c.node) SELECT seed::INTEGER AS seed, node::INTEGER AS node FROM c"
 Q["gr42"] = lambda s, d: G.export_chain(_chain(s, d))
 S["gr42"] = f"WITH RECURSIVE {CHAIN}, c(start, target, hops) AS (SELECT a, b, 1 FROM e UNION ALL SELECT c.start, e.b, c.hops + 1 FROM c JOIN e ON e.a = c.target WHERE c.hops < 8) SELECT start, target, hops FROM c WHERE target NOT IN (SELECT a FROM e)"
 

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from codeloom.schema import FILES, LANGUAGE_OF
 
 #: Folders that are never entered; folders that are not entered where there are no ignore rules.
 ALWAYS = {".git", ".codeloom", ".claude"}
-DEFAULT_IGNORED = {"node_modules", "vendor", "target", "build", "dist", "__pycache__", ".venv", "venv", ".tox", ".idea", ".vscode", ".gradle", "bin", "obj", "out"}
+DEFAULT_IGNORED = {"node_modules", "vendor", "__pycache__", ".venv", "venv", "target", "build", "dist", ".next", ".idea", ".vscode", "bin", "obj"}
 LARGEST, SNIFFED = 1 << 20, 512
 
 
@@ -75,6 +78,22 @@ def ignored(rules: list[Rule] | None, path: str, is_dir: bool) -> bool:
     return out
 
 
+def ignored_paths(paths: DataFrame, lines: list[str]) -> DataFrame:
+    """paths(path) with ignored: whether a folder above the path, or the path itself, is what the last matching rule ignores."""
+    rules = [Rule(x) for x in lines]
+
+    def verdict(path: Column, is_dir: bool) -> Column:
+        out = F.lit(False)
+        for r in rules:
+            if is_dir or not r.dir_only:
+                out = F.when(F.regexp_like(path, F.lit(f"^(?:{r.regex.pattern})$")), F.lit(not r.negated)).otherwise(out)
+        return out
+
+    parts = F.split("path", "/")
+    folders = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))
+    return paths.withColumn("ignored", F.exists(folders, lambda f: verdict(f, True)) | verdict(F.col("path"), False))
+
+
 def skip_dir(rules: list[Rule] | None, root: str, path: str) -> bool:
     name = os.path.basename(path)
     if name in ALWAYS or os.path.exists(os.path.join(root, path, ".git")):
@@ -136,6 +155,42 @@ class _Reader(DataSourceReader):
                 yield row
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    paths: list[str]
+
+
+class _Writer(DataSourceWriter):
+    """Writes each file beside its place and then moves it there; a failed job takes its own files away and leaves older ones as they were."""
+
+    def __init__(self, root: str):
+        self.root = root
+
+    def write(self, iterator):
+        paths = []
+        for row in iterator:
+            full = os.path.normpath(os.path.join(self.root, row["path"]))
+            if not full.startswith(os.path.normpath(self.root) + os.sep):
+                raise ValueError(f"{row['path']} lies outside the tree")
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            held = f"{full}.{uuid.uuid4().hex}.part"
+            with open(held, "wb") as f:
+                f.write(bytes(row["content"]))
+            paths.append((held, full))
+        return _Written(paths)
+
+    def commit(self, messages):
+        for m in messages:
+            for held, full in m.paths if m else ():
+                os.replace(held, full)
+
+    def abort(self, messages):
+        for m in messages:
+            for held, _ in m.paths if m else ():
+                if os.path.exists(held):
+                    os.remove(held)
+
+
 class RepoSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -147,6 +202,15 @@ class RepoSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"], self.options.get("dir", "").strip("/"))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"])
+
+
+def write_repo(files: DataFrame, root: str) -> None:
+    """Write files(path, content text or bytes) below root, a folder that all machines share: all of them, or on failure none."""
+    files.sparkSession.dataSource.register(RepoSource)
+    files.select("path", F.col("content").cast("binary").alias("content")).write.format("repo").mode("append").save(root)
+
 
 def read_repo(spark: SparkSession, root: str, directory: str = "") -> DataFrame:
     spark.dataSource.register(RepoSource)

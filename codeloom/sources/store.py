@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import text
-from codeloom.streaming.incremental import patched
+from codeloom.streaming.incremental import patched, snapshot_diff
 
 MANIFEST = "version bigint, folder string, n_files bigint, n_postings bigint, n_symbols bigint"
 #: The column by which rows of each table belong to a file, and that by which the table is laid out.
-TABLES = {"files": ("path", "path"), "postings": ("path", "tri"), "symbols": ("path", "name"), "edges": ("importer", "imported"), "refs": ("path", "name_lc")}
+TABLES = {"files": ("path", "path"), "postings": ("path", "tri"), "symbols": ("path", "name"), "edges": ("importer", "imported"), "refs": ("path", "name_lc"), "popularity": ("sym_id", "sym_id"), "decls": ("path", "name"), "bound": ("path", "path")}
 
 
 class IndexStore:
@@ -46,17 +46,29 @@ class IndexStore:
         row = ((last.version if last else 0) + 1, folder, count("files"), count("postings"), count("symbols"))
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.folder}/manifests")
 
-    def build(self, files: DataFrame, symbols: DataFrame | None = None, edges: DataFrame | None = None, refs: DataFrame | None = None) -> None:
-        """files: path, content, and what else describes them (size, mtime_ns)."""
-        given = {"symbols": symbols, "edges": edges, "refs": refs}
+    def build(self, files: DataFrame, symbols: DataFrame | None = None, edges: DataFrame | None = None, refs: DataFrame | None = None, **more: DataFrame) -> None:
+        """files: path, content, and what else describes them (size, mtime_ns). more: popularity, decls, bound."""
+        given = {"symbols": symbols, "edges": edges, "refs": refs, **more}
         self.write({"files": files.drop("content"), "postings": text.postings(files)} | {k: v for k, v in given.items() if v is not None})
 
-    def patch(self, changes: DataFrame, files: DataFrame) -> None:
-        """A new version after changes(path, change): postings and file rows of changed files anew, all others as they are.
-        Tables that depend on more than a file (edges, refs) are left to the next build."""
-        new_rows = {"files": files.drop("content"), "postings": text.postings(files)}
+    def patch(self, changes: DataFrame, files: DataFrame, symbols: DataFrame | None = None) -> None:
+        """A new version after changes(path, change): postings, file rows and (where the index has them) symbols of changed files anew, all
+        others as they are. Tables that depend on more than a file (edges, refs, popularity) are left to the next build."""
+        new_rows = {"files": files.drop("content"), "postings": text.postings(files)} | ({"symbols": symbols} if symbols is not None else {})
         self.write({k: patched(self.table(k), changes, v) for k, v in new_rows.items()})
 
+    def tick(self, now: DataFrame, symbols: DataFrame | None = None) -> bool:
+        """Bring the index up to files now (path, content, mtime_ns, size): nothing if none differs, else a patch. Tells whether it wrote."""
+        changes = snapshot_diff(self.table("files"), now)
+        if changes.isEmpty():
+            return False
+        self.patch(changes, now, symbols)
+        return True
+
+    def complete(self, now: DataFrame) -> bool:
+        """Whether the index is that of files now."""
+        return snapshot_diff(self.table("files"), now).isEmpty()
+
     def status(self, now: DataFrame | None = None) -> DataFrame:
         """One row: files, trigrams, and whether the files given now differ."""
         sums = self.table("postings").agg(F.count_distinct("tri").alias("n_trigrams"))
