@@ -22,21 +22,22 @@ TRI = FILES + """, folded AS (SELECT path, hex(encode(translate(content, 'ABCDEF
 grams AS (SELECT DISTINCT path, substr(h, 2 * i + 1, 6) AS tri FROM (SELECT path, h, unnest(range(0, length(h) // 2 - 2)) AS i FROM folded))"""
 
 
-_built: dict[tuple[str, str], IndexStore] = {}
+_built: dict[tuple[str, str, bool], IndexStore] = {}
 
 
-def index(s, d) -> IndexStore:
-    """The stored index of the files of d, built once a Spark application."""
-    key = s.sparkContext.applicationId, d
+def index(s, d, whole: bool = True) -> IndexStore:
+    """The stored index of the files of d, built once a Spark application: of text alone, or with symbols, edges and refs."""
+    key = s.sparkContext.applicationId, d, whole
     if key not in _built:
         store = IndexStore(s, f"{shared_folder(s)}/index-{uuid.uuid4().hex}")
-        store.build(files(s, d).select("path", "content", F.octet_length("content").cast("long").alias("size")), symbols(s, d), edges(s, d), refs(s, d))
+        more = (symbols(s, d), edges(s, d), refs(s, d)) if whole else ()
+        store.build(files(s, d).select("path", "content", F.octet_length("content").cast("long").alias("size")), *more)
         _built[key] = store
     return _built[key]
 
 
 def stored(s, d):
-    return index(s, d).table("postings")
+    return index(s, d, False).table("postings")
 
 
 def _list(xs: list[str]) -> str:
