@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import let
-from codeloom.scratch import delete, scratch, shared_folder, written
+from codeloom import scratch as _tables
+from codeloom.scratch import delete, scratch, shared_folder
 
 __all__ = ["WHITE", "batches_of", "delete", "exists", "let", "map_batches", "read", "scratch", "shared_folder", "survivors", "written"]
 
@@ -19,6 +20,21 @@ WHITE = " \t\n\x0b\x0c\r"
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
+#: Bytes that the JVM puts into one Arrow batch while a table is written: such batches lie beside the heap.
+JVM_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """`scratch.written` with small Arrow batches; the session's own setting is back when the table is written."""
+    conf, (key, most) = df.sparkSession.conf, JVM_BATCH
+    before = conf.get(key)
+    conf.set(key, str(most))
+    try:
+        return _tables.written(df, name, keep)
+    finally:
+        conf.set(key, before)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import bindings as I
@@ -110,11 +113,11 @@ for _lang, _n in _LINK_IDS.items():
 
 
 def _all_links(s, d):
-    out = None
-    for lang in _LINK_IDS:
-        rows = _linked(s, d, lang).groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(lang).alias("lang"), "reason", "n")
-        out = rows if out is None else out.union(rows)
-    return out
+    """The projects of all languages as one tree, linked at once."""
+    files = reduce(DataFrame.union, (G.sources(s, d, *PROJECTS[lang]) for lang in _LINK_IDS))
+    tables, found, packages, defaults = _tables(files)
+    linked = L.links(*tables, found, packages, defaults).select("path", "line", "name", "decl_id", "reason").distinct()
+    return linked.join(packages.select("path", "lang"), "path").groupBy("lang", "reason").agg(F.count("*").alias("n"))
 
 
 Q["bd25"] = _all_links
