@@ -12,8 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import parsers
-from codeloom.operators import edits, graph, overview, symbols, text
+from codeloom.functions import bindings, parsers, scopes
+from codeloom.operators import edits, graph, linking, overview, symbols, text
 from codeloom.plans import patterns
 from codeloom.sources.repo import read_repo
 
@@ -85,9 +85,55 @@ class Repo:
     def similar(self, name: str) -> DataFrame:
         return symbols.similar_names(self.symbols, name)
 
-    def rename(self, old: str, new: str, force: bool = False) -> DataFrame:
-        """Files as they would be; nothing is written. Too large a rename is refused unless forced."""
-        rows = edits.rename_edits(self.usages(old), new)
+    @cached_property
+    def scoped(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Scopes, declarations and references of all files."""
+        return tuple(x.cache() for x in scopes.parse_scopes(self.bytes))
+
+    @cached_property
+    def modules(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What files bring in, what package they are part of, what they export by default."""
+        return tuple(f(self.bytes).cache() for f in (bindings.parse_bindings, bindings.parse_packages, bindings.parse_default_exports))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return linking.links(*self.scoped, *self.modules).cache()
+
+    def declarations(self, name: str, path: str | None = None) -> DataFrame:
+        """Declarations of a name but imports and locals: those of a file's own scope, or of a class in it."""
+        rows = self.scoped[1].where((F.col("name") == name) & ~F.col("kind").isin("import", "variable", "parameter"))
+        return rows if path is None else rows.where(F.col("path") == path)
+
+    def references(self, name: str, path: str | None = None) -> DataFrame:
+        """References to the declarations of a name, in their files and across files, with how sure they are."""
+        return linking.references_to(self.declarations(name, path), *self.scoped, self.links)
+
+    def insert_after(self, path: str, name: str, new: str) -> DataFrame:
+        """The file as it would be with text behind a symbol."""
+        wanted = self.spark.createDataFrame([(path, name, new)], "path string, name string, text string")
+        return edits.spliced(self.table, edits.insert_after_symbol(self.symbols, wanted))
+
+    def replace(self, path: str, old: str, new: str, symbol: str | None = None) -> DataFrame:
+        """The file as it would be with a text replaced, which it (or its symbol) must hold exactly once; else why not."""
+        here = self.table.where(F.col("path") == path)
+        if symbol is None:
+            out = edits.replace_once(here, old, new)
+        else:
+            out = edits.replace_in_symbol(here, symbols.by_name(self.symbols, symbol).where(F.col("path") == path).orderBy("start_line").limit(1), old, new)
+        return out if out.where("n = 1").count() else edits.near_matches(here, old)
+
+    def rename(self, old: str, new: str, path: str | None = None, force: bool = False, text_only: bool = False) -> DataFrame:
+        """Files as they would be; nothing is written. The declaration of the name (in the file, where several have one), what is bound to it and
+        the import clauses that name it change, and neither comments nor other declarations of the name; with text_only every whole word does.
+        Too large a rename is refused unless forced."""
+        if text_only:
+            rows = edits.rename_edits(self.usages(old), new)
+        else:
+            found = self.declarations(old, path)
+            if found.select("path").distinct().count() != 1:
+                raise ValueError(f"{old} is declared in no file or in several; give the path of one, or text_only=True")
+            spans = linking.rename_spans(found, *self.scoped, *self.modules)
+            rows = edits.rename_edits(spans.select("path", F.col("start_byte").alias("start"), F.col("end_byte").alias("end")), new)
         if not edits.rename_gate(rows, force).first().allowed:
             raise ValueError(f"{old} occurs in more than {edits.MOST_FILES} files or {edits.MOST_OCCURRENCES} times; pass force=True")
         return edits.spliced(self.table, rows)

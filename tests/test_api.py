@@ -32,11 +32,24 @@ def test_queries(repo):
     assert ("lib/queue.py", "push") in {(r.path, r.name) for r in repo.callees("main").collect()}
     assert [r.name for r in repo.similar("mak_queue").collect()][:1] == ["make_queue"]
     assert repo.orient(budget=200).count() >= 4
-    new = {r.path: r.content for r in repo.rename("Queue", "Line").collect()}
+    new = {r.path: r.content for r in repo.rename("Queue", "Line", text_only=True).collect()}
     assert new == {p: patterns.re.sub(r"\bQueue\b", "Line", t) for p, t in FILES.items()}
     assert repo.usages("Queue").count() == 6
 
 
+def test_rename_keeps_to_the_declaration(repo):
+    with pytest.raises(ValueError):
+        repo.rename("Queue", "Line")
+    new = {r.path: r.content for r in repo.rename("Queue", "Line", path="lib/queue.py").collect()}
+    assert new == {"lib/queue.py": FILES["lib/queue.py"].replace("Queue", "Line"), "app.py": FILES["app.py"].replace("Queue\n", "Line\n").replace("Queue()", "Line()")}
+    found = {(r.path, r.line, r.binding) for r in repo.references("Queue", "lib/queue.py").collect()}
+    assert found == {("lib/queue.py", 6, "resolved"), ("app.py", 4, "resolved")}
+    after = repo.insert_after("lib/queue.py", "make_queue", "x = 1").first().content
+    assert after.endswith("return Queue()\nx = 1\n")
+    assert repo.replace("app.py", "q.push(1)", "q.push(2)", symbol="main").first().n == 1
+    assert repo.replace("app.py", "q.push(1)  # Queue agian", "z").first().why == "alike"
+
+
 def test_patch_of_a_stream_equals_rebuild(spark, tmp_path):
     schema = "path string, content string"
     held = {"t": spark.createDataFrame([("a", "one"), ("b", "two")], schema)}
