@@ -16,8 +16,8 @@ __all__ = ["WHITE", "batches_of", "delete", "exists", "let", "map_batches", "rea
 
 #: The white space of the contracts, `[\x20\x09-\x0D]`, one character each.
 WHITE = " \t\n\x0b\x0c\r"
-#: Rows and bytes that an operator works on at once; one row is never split.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Rows and bytes that an operator works on at once; one row is never split. Shingling takes some thirty bytes for each byte of text.
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
 
 #: Bytes that the JVM puts into one Arrow batch while a table is written: such batches lie beside the heap.
