@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from codeloom.functions.columns import let
 from codeloom import scratch as _tables
 from codeloom.scratch import delete, scratch, shared_folder
 
-__all__ = ["WHITE", "batches_of", "delete", "exists", "let", "map_batches", "read", "scratch", "shared_folder", "survivors", "written"]
+__all__ = ["WHITE", "batches_of", "delete", "exists", "let", "map_batches", "read", "scratch", "shared_folder", "small_batches", "survivors", "written"]
 
 #: The white space of the contracts, `[\x20\x09-\x0D]`, one character each.
 WHITE = " \t\n\x0b\x0c\r"
@@ -20,19 +21,25 @@ WHITE = " \t\n\x0b\x0c\r"
 BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
 
-#: Bytes that the JVM puts into one Arrow batch while a table is written: such batches lie beside the heap.
+#: Bytes that the JVM puts into one Arrow batch while operators run: such batches lie beside the heap.
 JVM_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """`scratch.written` with small Arrow batches; the session's own setting is back when the table is written."""
-    conf, (key, most) = df.sparkSession.conf, JVM_BATCH
-    before = conf.get(key)
-    conf.set(key, str(most))
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for what runs inside; the session's own setting is back at the end."""
+    (key, most), before = JVM_BATCH, spark.conf.get(JVM_BATCH[0])
+    spark.conf.set(key, str(most))
     try:
-        return _tables.written(df, name, keep)
+        yield
     finally:
-        conf.set(key, before)
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """`scratch.written` with small Arrow batches."""
+    with small_batches(df.sparkSession):
+        return _tables.written(df, name, keep)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

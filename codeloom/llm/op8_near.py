@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, map_batches, read, scratch, survivors, written
+from .common import batches_of, map_batches, read, scratch, small_batches, survivors, written
 
 WORDS, SIMILAR, BANDS, ROWS, RARE = 5, 0.8, 12, 3, 100
 #: Documents of a chunk whose frequent shingles become candidates, and the share of a chunk that makes a shingle one.
@@ -213,7 +213,8 @@ def frequencies(docs: DataFrame) -> tuple[Frequent, int]:
     and what chunks may have left out, at least CANDIDATE times all documents, so no more than mean length / CANDIDATE are collected."""
     n = docs.count()
     found = _candidates(docs).groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= (1 / RARE - CANDIDATE) * n)
-    keys = np.array(sorted(r[0] for r in found.select("shingle").toLocalIterator()), np.uint32)
+    with small_batches(docs.sparkSession):
+        keys = np.array(sorted(r[0] for r in found.select("shingle").toLocalIterator()), np.uint32)
 
     def make():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -229,7 +230,8 @@ def frequencies(docs: DataFrame) -> tuple[Frequent, int]:
     if not len(keys):
         return Frequent({}, n), n
     exact = map_batches(docs.select("text"), make, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > n / RARE)
-    return Frequent({r[0]: r[1] for r in exact.collect()}, n), n
+    with small_batches(docs.sparkSession):
+        return Frequent({r[0]: r[1] for r in exact.collect()}, n), n
 
 
 def digest(text: Column) -> Column:
