@@ -1,10 +1,13 @@
 """What larger tables have and the small ones do not: first words that look like a rule's own, repeated pages, names that very many call."""
 
+import os
+
 import duckdb
 import pytest
 
 from codeloom.operators import symbols as Y
 from codeloom.plans import catalog
+from codeloom.scratch import shared_folder
 from tests.oracle import differences
 
 
@@ -25,3 +28,13 @@ def test_popularity_of_a_name_with_very_many_callers(spark):
     refs = spark.range(60_000).selectExpr("concat('s', id) AS sym_id", "if(id % 2 = 0, 'b', 'c') AS path", "'x' AS name_lc")
     edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("c", "b")], "importer string, imported string")
     assert [tuple(r) for r in Y.popularity(symbols, refs, edges).collect()] == [("a#1", 3)]
+
+
+@pytest.mark.parametrize("name", ["bd39", "bd53", "rn12"])
+def test_linking_leaves_nothing_but_its_result(spark, name):
+    """Sources, what parsers say of them and links are as large as the table: they go when the query returns."""
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    left = set(os.listdir(folder)) - before
+    assert rows >= 200 and len(left) == 1 and next(iter(left)).startswith("result-")
