@@ -42,17 +42,21 @@ class Words:
     not remembered are tokenized together, parted by a character that no such word has. All other texts go to the
     tokenizer as they are."""
 
-    PART, TOGETHER = "\ue000", 200
+    PART, TOGETHER, SIGNS = "\ue000", 200, ".,;:!?"
     PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xC6)])
     ODD = re.compile("[\x80-\xa0\xad]")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.of_words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # words have no white space and no letters that could be composed: of the normaliser's three steps one is left
+        self.of_words.normalizer = normalizers.Lowercase()
+        self.of_words.model._resize_cache(0)  # each word comes once
         part = self.direct(self.PART)
         self.part, self.part_length = int(np.frombuffer(part, "<u4")[0]), len(part) // 4
+        self.signs = {x: self.direct(x) for x in self.SIGNS}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -63,7 +67,7 @@ class Words:
         out = []
         for k in range(0, len(words), self.TOGETHER):
             some = words[k : k + self.TOGETHER]
-            joined = self.tokenizer.encode_batch_fast([self.PART.join(f"{w} " for w in some)], add_special_tokens=False)[0]
+            joined = self.of_words.encode_batch_fast([f" {self.PART} ".join(some)], add_special_tokens=False)[0]
             ids = np.array(joined.ids, "<u4")
             at = np.flatnonzero(ids == self.part)
             if len(at) != len(some) - 1:
@@ -73,6 +77,15 @@ class Words:
             out += [data[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
         return out
 
+    def tokenized(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of plain words. Case is dropped, and a sign behind letters is a token of its own: what is left is tokenized once."""
+        stems = [w[:-1].lower() if w[-1] in self.signs and w[:-1].isalpha() else w.lower() for w in words]
+        young, old = self.young, self.old
+        ids = {s: young.get(s) or old.get(s) for s in stems}
+        if unknown := [s for s, p in ids.items() if p is None]:
+            ids |= zip(unknown, self.together(unknown), strict=True)
+        return {w: ids[s] if len(w) == len(s) else ids[s] + self.signs[w[-1]] for w, s in zip(words, stems, strict=True)}
+
     def plain(self, text: str) -> bool:
         """Whether text has only characters of which words can be told apart by splitting: printing ASCII, tab, line
         ends, and Latin letters and signs from U+00A1 to U+017F without the soft hyphen and the dotted capital I."""
@@ -82,22 +95,25 @@ class Words:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text; words that no text before had are tokenized once for all of these."""
         cut = [t.split() if self.plain(t) else None for t in texts]
-        young, old, new = self.young, self.old, {}
+        young, old, new, gaps = self.young, self.old, {}, []
         found = [None if ws is None else list(map(young.get, ws)) for ws in cut]
         for ws, ps in zip(cut, found, strict=True):
+            at = []  # places of unknown words alone: most words are known
             if ps and None in ps:
-                new |= {w: None for w, p in zip(ws, ps, strict=True) if p is None}
+                k = -1
+                for _ in range(ps.count(None)):
+                    k = ps.index(None, k + 1)
+                    at.append(k)
+                    new[ws[k]] = None
+            gaps.append(at)
         new = {w: old.get(w) for w in new}
         if unknown := [w for w, p in new.items() if p is None]:
-            new |= zip(unknown, self.together(unknown), strict=True)
+            new |= self.tokenized(unknown)
         out = []
-        for t, ws, ps in zip(texts, cut, found, strict=True):
-            if ws is None:
-                out.append(self.direct(t))
-            elif None in ps:
-                out.append(b"".join([new[w] if p is None else p for w, p in zip(ws, ps, strict=True)]))
-            else:
-                out.append(b"".join(ps))
+        for t, ws, ps, at in zip(texts, cut, found, gaps, strict=True):
+            for k in at:
+                ps[k] = new[ws[k]]
+            out.append(self.direct(t) if ws is None else b"".join(ps))
         if len(young) + len(new) > REMEMBERED:
             self.old, self.young = young, {}
         self.young |= {w: p for w, p in new.items() if len(w) <= LONGEST_REMEMBERED}

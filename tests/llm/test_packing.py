@@ -112,3 +112,14 @@ def test_packed_documents(spark):
     total = sum(r.length for r in got)
     assert len(by) <= -(-total // 2048) * 1.05 + 1
     assert op.packed(df.where("false")).count() == 0
+
+
+def test_words_that_begin_with_a_sign_keep_their_ids():
+    """An ending such as 't is one token at the start of a word too, also where words are tokenized together; signs and case make no new words."""
+    words = op.Words(op.public_tokenizers.path(op.VOCABULARY))
+    asked = []
+    together = words.together
+    words.together = lambda some: asked.extend(some) or together(some)
+    text = "one 't two 'Sword 'LL it's École, école. ÉCOLE x1, <b> -- ... 'one'"
+    assert words.encode(text) == words.direct(text)
+    assert asked.count("école") == 1 and len(asked) == len(set(asked))
