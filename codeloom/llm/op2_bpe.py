@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import sys
 from functools import cache
 
@@ -40,23 +41,28 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        #: The lengths of tokens of three or more bytes by their last three, longest first: other lengths need no look-up.
+        #: The lengths of tokens of three or more bytes by their last three, longest first, and 2: other lengths need no look-up.
         lengths: dict[bytes, set[int]] = {}
         for token in ranks:
             if len(token) > 2:
                 lengths.setdefault(token[-3:], set()).add(len(token))
-        self.lengths = {end: sorted(n, reverse=True) for end, n in lengths.items()}
+        self.lengths = {end: (*sorted(n, reverse=True), 2) for end, n in lengths.items()}
         self.follows: dict[tuple[int, int], bool] = {}
         self.stands: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """BPE by its definition, lowest rank first and leftmost first: for the few bytes of one or two tokens."""
+        get, none = self.ranks.get, sys.maxsize
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], sys.maxsize), i) for i in range(len(parts) - 1)))
-            if rank == sys.maxsize:
-                break
+        pairs = [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (rank := min(pairs)) < none:
+            at = pairs.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], none)
         return [self.ranks[p] for p in parts]
 
     def may_stand(self, token: int) -> bool:
@@ -96,7 +102,7 @@ class PrefixEncoder:
         get, lengths, follows = v.ranks.get, v.lengths.get, v.follows.get
         for end in range(len(last), len(data) + 1):
             found = -1
-            for n in (*lengths(data[end - 3 : end], ()), 2) if end > 2 else (end,):
+            for n in lengths(data[end - 3 : end], (2,)) if end > 2 else (end,):
                 if n <= end and (token := get(data[end - n : end])) is not None:
                     before = last[end - n]
                     if before < 0:
@@ -131,11 +137,14 @@ class Codec:
         self.rare = regex.compile(r"[^\P{White_Space} \n]")  # white space other than space and newline
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Pieces likewise: a new chunk is mostly a word that another chunk has with other marks.
+        self.young_pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Packed ids of each piece. Sorted, so that a piece is an edit of the one before and shares its prefixes."""
         out, known, encoder = {}, self.v.ranks, PrefixEncoder(self.v)
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
+        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
         for data, p in sorted((p.encode(), p) for p in pieces):
             if (whole := known.get(data)) is not None:
                 out[p] = pack([whole])
@@ -161,18 +170,28 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; what no text before had is encoded once for all."""
         cut = [self.chunks(t) for t in texts]
-        young, old, new = self.young, self.old, {}
-        for chunks in cut:
-            for c in chunks:
-                if c not in young and c not in new:
-                    new[c] = old.get(c)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        if len(self.young_pieces) > REMEMBERED:
+            self.old_pieces, self.young_pieces = self.young_pieces, {}
+        young, old = self.young, self.old
+        new = {c: old.get(c) for c in set().union(*cut).difference(young)}
         split = {c: self.pieces.findall(c) for c, ids in new.items() if ids is None}
-        ids = self.encode_pieces(list({p for ps in split.values() for p in ps}))
+        ids = self.pieces_of({p for ps in split.values() for p in ps})
         new |= {c: b"".join([ids[p] for p in ps]) for c, ps in split.items()}
-        out = [b"".join([young[c] if c in young else new[c] for c in chunks]) for chunks in cut]
-        if len(young) + len(new) > REMEMBERED:
-            self.old, self.young = young, {}
-        self.young |= {c: x for c, x in new.items() if len(c) <= LONGEST_REMEMBERED}
+        young |= new
+        out = [b"".join(map(young.__getitem__, chunks)) for chunks in cut]
+        for c in new:
+            if len(c) > LONGEST_REMEMBERED:
+                del young[c]
+        return out
+
+    def pieces_of(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of each piece; those that no text before had are encoded."""
+        young, old = self.young_pieces, self.old_pieces
+        out = {p: young.get(p) or old.get(p) for p in pieces}
+        out |= self.encode_pieces([p for p, ids in out.items() if ids is None])
+        young |= {p: ids for p, ids in out.items() if len(p) <= LONGEST_REMEMBERED}
         return out
 
     def encode(self, text: str) -> bytes:

@@ -8,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeloom.llm.op2_bpe import RANKS, PrefixEncoder, _mapped, codec, encode_documents, load_ranks
+from codeloom.llm.op2_bpe import RANKS, Codec, PrefixEncoder, _mapped, codec, encode_documents, load_ranks
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +71,14 @@ def test_documents(spark, reference):
     full = encode_documents(df).where("doc_id = 4").first()
     assert bytes(full.decoded) == b"Hello world"
     assert _mapped(df.where("false"), RANKS, P.PATTERN, True).count() == 0
+
+
+def test_a_word_that_other_chunks_had_is_encoded_once(reference):
+    """With other marks a word is another chunk, but the same piece."""
+    c, asked = Codec(P.path(RANKS), P.PATTERN), []
+    inner = c.encode_pieces
+    c.encode_pieces = lambda pieces: asked.extend(pieces) or inner(pieces)
+    texts = ["so qwortelblum, it is", "so qwortelblum. it is", "so (qwortelblum qwortelblum) it " + "y" * 100, "it qwortelblum; " + "y" * 100]
+    for t in texts:
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == reference.encode_ordinary(t)
+    assert asked.count(" qwortelblum") == 1 and max(map(len, (*c.young, *c.young_pieces))) <= 64
